@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .source_mix import mix_sources
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +28,48 @@ r AS (
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r
 """
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(text, '') AS text
+  FROM documents),
+k AS (
+  SELECT doc_id, source, size,
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+         / (0.1 + 0.9 * len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x:
+             regexp_full_match(x, '\p{L}[\p{L}''’-]*[.,;:!?]?')))
+           / greatest(size, 1)) AS key
+  FROM w),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+p AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS fill FROM p),
+f AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done,
+         sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left,
+         sum(source_size) OVER () * 1.5::DOUBLE AS budget
+  FROM c),
+l AS (SELECT *, max(CASE WHEN (budget - done) / weight_left <= fill THEN (budget - done) / weight_left END) OVER () AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap))::DOUBLE AS target FROM l),
+e AS (
+  SELECT source, source_size, target,
+         least(2, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::BIGINT AS epochs
+  FROM t)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - coalesce(
+         sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
+FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+"""
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_source_mix": op3_source_mix,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_source_mix": OP3_SQL,
 }
