@@ -18,8 +18,13 @@ SPACE = r"\x20\x09-\x0D"
 HOT_SHARE = 1000
 
 
+#: Bytes of a batch that a Python worker gets at once; a longer text is a batch of its own.
+BATCH_BYTES = "16m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set, read by Spark alone (any store)."""
+    """A table of the data set, read by Spark alone (any store). Texts may be long, so batches are bounded by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .source_mix import mix_sources
 
 
@@ -64,9 +65,14 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 """
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op6_packing": op6_packing,
 }
 
 ORACLES = {
