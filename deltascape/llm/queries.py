@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .quality import classify
 from .source_mix import mix_sources
 from .topk_search import top_k
 
@@ -88,11 +90,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
 }
 
 ORACLES = {
