@@ -11,6 +11,7 @@ from .packing import pack
 from .quality import classify
 from .source_mix import mix_sources
 from .topk_search import top_k
+from .toxicity import toxicity
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,11 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 """
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -99,6 +105,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
 }
