@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .packing import pack
 from .quality import classify
 from .source_mix import mix_sources
@@ -92,6 +93,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -106,6 +111,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_toxicity": op4_toxicity,
+    "op5_html_text": op5_html_text,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
 }
