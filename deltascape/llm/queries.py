@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .license_scan import scan
 from .packing import pack
 from .quality import classify
 from .source_mix import mix_sources
@@ -106,6 +107,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_exact_dedup": op2_exact_dedup,
@@ -114,6 +119,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES = {
