@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract
 from .license_scan import scan
 from .packing import pack
+from .pii import sanitise
 from .quality import classify
 from .source_mix import mix_sources
 from .topk_search import top_k
@@ -107,6 +108,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -119,6 +124,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op10_license_scan": op10_license_scan,
 }
 
