@@ -1,0 +1,47 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, join_groups, materialise
+
+#: Rounds after which something must be wrong; a component of n nodes takes about log n.
+MOST_ROUNDS = 60
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) with, for each, the least of u and all its v as m."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    return join_groups(pairs, least, "u", "degree", pairs.count()).withColumn("m", F.least("u", "m"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node and root, the smallest node of its component, of every node that stands in edges (columns u, v: long).
+
+    Edges may repeat, run either way or join a node to itself. Every round is one table in the shared folder; hubs are
+    joined without moving them into one task.
+    """
+    loops = edges.filter("u = v").select(F.col("u").alias("node"))
+    now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    seen = None
+    for _ in range(MOST_ROUNDS):
+        both = materialise(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+        large = materialise(_stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        small = _stars(large)
+        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        after = materialise(after, "edges")
+        for old in (now, both, large):
+            discard(old)
+        now = after
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    else:
+        raise RuntimeError("components did not settle")
+    members = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    alone = loops.distinct().join(members.unionByName(roots).select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    return members.unionByName(roots).unionByName(alone)

@@ -9,6 +9,7 @@ from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .html_text import extract
 from .license_scan import scan
+from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import sanitise
 from .quality import classify
@@ -112,6 +113,37 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n, s FROM s),
+u AS (SELECT s, min(doc_id) AS node, any_value(n) AS n FROM (SELECT doc_id, n, list_sort(s) AS s FROM n WHERE n > 0) GROUP BY s),
+x AS (SELECT node, n, unnest(s) AS g FROM u),
+p AS (
+  SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.g = b.g AND a.node < b.node
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT node, node AS to_node FROM u UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.to_node),
+c AS (SELECT node, min(to_node) AS component_id FROM r GROUP BY node),
+k AS (
+  SELECT n.doc_id, n.n AS n_shingles, coalesce(c.component_id, n.doc_id) AS component_id
+  FROM n LEFT JOIN u ON list_sort(n.s) = u.s AND n.n > 0 LEFT JOIN c ON c.node = u.node)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM k
+"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -125,6 +157,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
+    "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
@@ -132,4 +165,5 @@ ORACLES = {
     "op1_topk_search": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op3_source_mix": OP3_SQL,
+    "op9_near_dedup": OP9_SQL,
 }
