@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that the contracts count as white space, as a Java regex class.
@@ -90,6 +90,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return found.unionByName(rest.join(cold, key))
 
 
+def row_key(*parts: Column) -> Column:
+    """One string for some columns' values, null told from text, by which rows are found again."""
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df (with column _key) and _nth, which tells apart rows of one key. They are alike, so any order will do."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+
+
 def stream_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Groups of a partition sorted by keys, across batch borders; memory holds a group and a batch."""
     held: list[pd.DataFrame] = []

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, materialise, select_present, splitmix, stream_groups
+from .common import discard, join_groups, materialise, numbered, row_key, select_present, splitmix, stream_groups
 from .components import connected_components
 
 #: Signature length, rows of a band, hashes compared at a time. A pair at similarity 0.85 misses all bands with
@@ -259,7 +259,7 @@ EDGES = "u long, v long"
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id and text are read): doc_id, n_shingles, component_id, kept.
+    """One row per row of docs (doc_id and text are read): doc_id, n_shingles, component_id, kept, text_hash.
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
     doc_id reachable. Null and empty texts, and texts of white space, have no shingles and link with nothing. Rows that
@@ -311,11 +311,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     joint = known.join(components.select("node"), "node", "left_semi").select("set_key", "copies", "root")
     joint = join_groups(joint, materialise(lowest, "lowest"), "root", "sets", max(components.count(), 1)).select("set_key", "copies", F.col("least_id").alias("component_id"))
     by_set = materialise(alone.unionByName(joint), "by_set")
-    out = join_groups(full.select("doc_id", "n_shingles", "set_key"), by_set, "set_key", "copies", max(prints.count(), 1)).select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(prints.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    out = join_groups(full.select("doc_id", "n_shingles", "set_key", text_hash.alias("text_hash")), by_set, "set_key", "copies", max(prints.count(), 1)).drop("set_key", "copies")
+    out = out.unionByName(prints.filter("n_shingles = 0").select("doc_id", "n_shingles", text_hash.alias("text_hash"), F.col("doc_id").alias("component_id")))
     for old in (buckets, members, candidates):
         discard(old)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay as they are.
+
+    The rows that stay are found again by id and text hash, in one shuffle of docs; of rows equal in both one stays.
+    """
+    own = near_duplicates(docs, shingle_words, percent).filter("kept").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
+    stay = own.select(row_key(F.col("component_id"), F.col("text_hash")).alias("_key"))
+    rows = docs.withColumn("_key", row_key(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))))
+    return numbered(rows).filter("_nth = 1").join(stay, "_key", "left_semi").select(*docs.columns)
 
 
 def _straggling(big: DataFrame, links: DataFrame, full: DataFrame, size: int, percent: int) -> DataFrame:

@@ -114,7 +114,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85).drop("text_hash")
 
 
 OP9_SQL = r"""
