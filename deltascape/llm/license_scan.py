@@ -7,6 +7,9 @@ inside another of the same or a higher priority is dropped; what remains gives t
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from .common import materialise, select_present
 
 #: The base phrases and their labels, fixed values.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-W = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+W = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 NOT_W = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Label, keyword and name pattern (of lower-case text; a space stands for any white space) of each family.
 FAMILIES = (
@@ -41,12 +44,12 @@ FAMILIES = (
     ("unicode", "unicode license", r"unicode"), ("vim", "vim license", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("zpl", "zope", r"zope public licen[sc]e"), ("intel", "intel open source", r"intel open source"), ("curl", "curl license", r"curl"),
     ("open-government", "open government", r"open government licen[sc]e"),
 )
-#: Pattern around a name, priority: its own tag, a grant, a version, the word license behind it, and the bare name.
+#: Pattern around a name, its own keyword, priority: a tag, a grant, a version, and the word license behind the name.
 FORMS = (
-    (r"spdx-licen[sc]e-identifier: *{name}(?:[-0-9.+a-z]*)", 5),
-    (r"(?:licen[sc]ed|released|distributed|available|published|provided|redistributed|covered) (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?:,? (?:version |v\.? ?)?[0-9]+(?:\.[0-9]+)*)?", 4),
-    (r"{name}(?: licen[sc]e)?,? (?:version |v\.? ?)[0-9]+(?:\.[0-9]+)*", 3),
-    (r"{name} licen[sc]e", 2),
+    (r"spdx-licen[sc]e-identifier: *{name}(?:[-0-9.+a-z]*)", "spdx", 5),
+    (r"(?:licen[sc]ed|released|distributed|available|published|provided|redistributed|covered) (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?:,? (?:version |v\.? ?)?[0-9]+(?:\.[0-9]+)*)?", "under", 4),
+    (r"{name}(?: licen[sc]e)?,? version [0-9]+(?:\.[0-9]+)*", "version", 3),
+    (r"{name} licen[sc]e", "licen", 2),
 )
 #: Whole patterns of their own: label, keyword, pattern, priority.
 SINGLE = (
@@ -58,17 +61,18 @@ SINGLE = (
     ("lgpl", "lgpl", r"lgpl", 1), ("agpl", "agpl", r"agpl", 1), ("wtfpl", "wtfpl", r"wtfpl", 1), ("cc-by", "cc", r"cc[- ]by", 1), ("cc-by-nc", "cc", r"cc[- ]by[- ]nc", 1), ("cc-by-sa", "cc", r"cc[- ]by[- ]sa", 1), ("cc-by-nd", "cc", r"cc[- ]by[- ]nd", 1),
     ("cc0", "cc0", r"cc0", 1), ("mpl", "mozilla", r"mozilla public licen[sc]e", 1), ("copyleft", "copyleft", r"copyleft", 1),
 )
-#: A text without any of these has none of the keywords.
-GATE = "licen|gpl|cc|apache|mit|bsd|isc|mpl|epl|cddl|eupl|fdl|expat|x11|spdx|copyleft|zlib|boost|bsl|wtf|psf|openssl|ofl|ncsa|ms-pl|sspl|od|pddl|openrail|cecill|w3c|public|permi|rights|proprietary|redistribution|warrant|perl|opensource|unlicense|beerware|artistic|blue oak|libpng|python|intel"
+#: A text without any of these has no detection: the forms' keywords, and those of the whole patterns.
+GATE = tuple(sorted({own for _, own, _ in FORMS} | {keyword for _, keyword, *_ in SINGLE} - {"cc"} | {"cc by", "cc-by", "cc\nby"}))
 PRIORITIES = 5
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    """The rules in order: rule, keyword, pattern, label, priority. A fixed table of some hundreds of rows."""
-    found = [(keyword, form.replace("{name}", f"(?:{name})"), label, priority) for form, priority in FORMS for label, keyword, name in FAMILIES]
-    found += [(keyword, pattern, label, priority) for label, keyword, pattern, priority in SINGLE]
-    spaced = [(k, rf"(?<!{W})" + p.replace("[- ]", r"[-\s]").replace(" *", r"\s*").replace(" ?", r"\s?").replace("? ", "?\u0000").replace(" ", r"\s+").replace("\u0000", r"\s+") + rf"(?!{W})", label, n) for k, p, label, n in found]
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(spaced)], "rule int, keyword string, pattern string, label string, priority int")
+    """The rules in order: rule, keyword and own (both must stand in a text), pattern, label, priority. A fixed table of some hundreds of rows."""
+    found = [(keyword, own, form.replace("{name}", f"(?:{name})"), label, priority) for form, own, priority in FORMS for label, keyword, name in FAMILIES]
+    found += [(keyword, "", pattern, label, priority) for label, keyword, pattern, priority in SINGLE]
+    spaced = lambda p: p.replace("[- ]", r"[-\s]").replace(" *", r"\s*").replace(" ?", r"\s?").replace(" ", r"\s+")
+    rows = [(i, keyword, own, rf"(?i)(?<!{W}){spaced(p)}(?!{W})", label, n) for i, (keyword, own, p, label, n) in enumerate(found)]
+    return spark.createDataFrame(rows, "rule int, keyword string, own string, pattern string, label string, priority int")
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -89,11 +93,13 @@ def scan(docs: DataFrame) -> DataFrame:
     play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    small = F.lower(text)
-    rows = select_present(docs, "doc_id", "text").withColumn("row_uid", F.monotonically_increasing_id()).withColumn("gated", small.rlike(GATE))
+    text, small = F.coalesce(F.col("text"), F.lit("")), F.col("small")
+    has = lambda k: F.contains(small, F.lit(k))
+    rows = select_present(docs, "doc_id", "text").withColumn("row_uid", F.monotonically_increasing_id()).withColumn("small", F.lower(text))
+    rows = rows.withColumn("gated", reduce(or_, [has(k) for k in GATE]))
     any_phrase = "(?:" + "|".join(phrase_pattern(p) for p, _ in PHRASES) + ")"
-    counts = [F.when(F.col("gated"), F.regexp_count(text, F.lit("(?i)" + phrase_pattern(p)))).otherwise(0) for p, _ in PHRASES]
+    # a phrase is sought where its rarest word stands
+    counts = [F.when(has(max(p.split(), key=len)[:4]) & has(p.split()[0]), F.regexp_count(text, F.lit("(?i)" + phrase_pattern(p)))).otherwise(0) for p, _ in PHRASES]
     rows = rows.withColumn("n_words", words_in(text))
     for k, c in enumerate(counts):
         rows = rows.withColumn(f"n{k}", c.cast("long"))
@@ -106,11 +112,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     table = rules(spark)
     keywords = sorted({keyword for _, keyword, *_ in FAMILIES} | {keyword for _, keyword, *_ in SINGLE})
-    held = F.array_compact(F.array(*[F.when(F.contains(F.col("small"), F.lit(k)), F.lit(k)) for k in keywords]))
-    gated = rows.filter(F.col("text").isNotNull()).select("row_uid", "text", F.lower("text").alias("small")).select("row_uid", "text", F.explode(held).alias("keyword"))
-    tried = gated.join(F.broadcast(table), "keyword")
+    held = F.array_compact(F.array(*[F.when(has(k), F.lit(k)) for k in keywords]))
+    gated = rows.filter(F.col("text").isNotNull()).select("row_uid", "text", F.lower("text").alias("small")).select("row_uid", "text", "small", F.explode(held).alias("keyword"))
+    tried = gated.join(F.broadcast(table), (gated["keyword"] == table["keyword"]) & F.contains(gated["small"], table["own"]))
     # each detection between two marks; the lengths of the pieces give its place
-    marked = F.regexp_replace(F.col("text"), F.concat(F.lit("(?i)"), F.col("pattern")), F.lit("\u0001$0\u0002"))
+    marked = F.regexp_replace(F.col("text"), F.col("pattern"), F.lit("\u0001$0\u0002"))
     pieces = tried.withColumn("marked", marked).filter(F.contains(F.col("marked"), F.lit("\u0001"))).select(
         "row_uid", "rule", "label", "priority", F.posexplode(F.transform(F.split("marked", "[\u0001\u0002]"), F.char_length)).alias("piece", "n")
     )
