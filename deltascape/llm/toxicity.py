@@ -44,6 +44,7 @@ def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = set(WORD.findall((text or "").lower()))
             own = found[f"n{label}{fold}"]
             own.update(words)
+            own[""] += 1  # the texts themselves
             own.update({w[:STEM] + "*" for w in words if len(w) > STEM})
         items = list(set().union(*found.values()))
         yield pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
@@ -84,17 +85,18 @@ def g_squared(a: np.ndarray, all_a: float, b: np.ndarray, all_b: float) -> np.nd
         return 2 * sum(np.where(x > 0, x * np.log(x / (n * all_x / whole)), 0.0) for x, all_x in ((a, all_a), (b, all_b)))
 
 
-def telling(kept: pd.DataFrame, sums: dict, shared: np.ndarray, m: str) -> dict[str, float]:
-    """Log ratios, by item, of the items of one level whose counts differ beyond chance. shared: their shared estimate."""
-    counts, p, totals = {}, {}, {c: float(sums[f"N_{m}{c}"] or 0) for c in (0, 1)}
-    if not totals[0] or not totals[1]:
+def telling(kept: pd.DataFrame, sums: dict, shared: np.ndarray, texts: dict[int, float], m: str) -> dict[str, float]:
+    """Log ratios, by item, of the items of one level whose counts differ beyond chance between the classes' texts.
+    shared: their shared estimate."""
+    if not texts[0] or not texts[1]:
         return {}
+    counts, p = {}, {}
     for c in (0, 1):
-        counts[c] = kept[f"{m}{c}"].to_numpy(float)
+        counts[c], total = kept[f"{m}{c}"].to_numpy(float), float(sums[f"N_{m}{c}"] or 0)
         d = discount(sums[f"one_{m}{c}"], sums[f"two_{m}{c}"])
-        p[c] = np.maximum(counts[c] - d, 0) / totals[c] + d * sums[f"types_{m}{c}"] / totals[c] * shared
+        p[c] = np.maximum(counts[c] - d, 0) / total + d * sums[f"types_{m}{c}"] / total * shared if total else shared
     ratio = np.log(p[1] / p[0])
-    sure = g_squared(counts[1], totals[1], counts[0], totals[0]) > BEYOND_CHANCE
+    sure = g_squared(counts[1], texts[1], counts[0], texts[0]) > BEYOND_CHANCE
     return dict(zip(kept["item"][sure], ratio[sure].tolist(), strict=True))
 
 
@@ -104,7 +106,8 @@ def build_models(counts: DataFrame) -> dict[str, BackoffModel]:
     named = [add([f"n{c}{f}" for f in folds]).alias(f"{m}{c}") for m, folds in FOLDS.items() for c in (0, 1)]
     is_stem = F.col("item").endswith("*")
     items = counts.select("item", *named)
-    words, stems = items.filter(~is_stem), items.filter(is_stem).withColumn("item", F.substring("item", 1, STEM))
+    whole = items.filter("item = ''").first()
+    words, stems = items.filter(~is_stem & (F.col("item") != "")), items.filter(is_stem).withColumn("item", F.substring("item", 1, STEM))
     known = {m: F.col(f"{m}0") + F.col(f"{m}1") > 0 for m in FOLDS}
     forms = words.filter(F.length("item") > STEM).groupBy(F.substring("item", 1, STEM).alias("item")).agg(*[F.count_if(known[m]).alias(f"{m}s") for m in FOLDS])
     stems = stems.join(forms, "item")
@@ -121,8 +124,9 @@ def build_models(counts: DataFrame) -> dict[str, BackoffModel]:
     out = {}
     for m in FOLDS:
         types = max(of_words[f"types_{m}"], 1)
+        texts = {c: float(whole[f"{m}{c}"]) if whole else 0.0 for c in (0, 1)}
         by_stem = np.maximum(kept_stems[f"{m}s"].to_numpy(float), 1.0) / types
-        out[m] = BackoffModel(telling(kept_words, of_words, np.full(len(kept_words), 1.0 / types), m), telling(kept_stems, of_stems, by_stem, m))
+        out[m] = BackoffModel(telling(kept_words, of_words, np.full(len(kept_words), 1.0 / types), texts, m), telling(kept_stems, of_stems, by_stem, texts, m))
     return out
 
 
