@@ -68,7 +68,9 @@ PRIORITIES = 5
 
 def rules(spark: SparkSession) -> DataFrame:
     """The rules in order: rule, keyword and own (both must stand in a text), pattern, label, priority. A fixed table of some hundreds of rows."""
-    found = [(keyword, own, form.replace("{name}", f"(?:{name})"), label, priority) for form, own, priority in FORMS for label, keyword, name in FAMILIES]
+    # a name that ends in the word needs no second one
+    filled = lambda form, name: form.replace("{name} licen[sc]e", "{name}") if name.endswith("licen[sc]e") else form
+    found = [(keyword, own, filled(form, name).replace("{name}", f"(?:{name})"), label, priority) for form, own, priority in FORMS for label, keyword, name in FAMILIES]
     found += [(keyword, "", pattern, label, priority) for label, keyword, pattern, priority in SINGLE]
     spaced = lambda p: p.replace("[- ]", r"[-\s]").replace(" *", r"\s*").replace(" ?", r"\s?").replace(" ", r"\s+")
     rows = [(i, keyword, own, rf"(?i)(?<!{W}){spaced(p)}(?!{W})", label, n) for i, (keyword, own, p, label, n) in enumerate(found)]
