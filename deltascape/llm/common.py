@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deltascape.plans.storage import discard, join_groups, materialise, shared_dir
+
+__all__ = ["discard", "join_groups", "materialise", "shared_dir"]
+
 #: The characters that the contracts count as white space, as a Java regex class.
 SPACE = r"\x20\x09-\x0D"
-#: A group with at least one in this many of all rows is hot; so there are at most this many hot groups.
-HOT_SHARE = 1000
-
 
 #: Bytes of a batch that a Python worker gets at once; a longer text is a batch of its own.
 BATCH_BYTES = "16m"
@@ -28,33 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="deltascape-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame, name: str = "part") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a materialised frame that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def select_present(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns with any name cannot clash with those an operator makes."""
     return df.select(*[df[f"`{n}`"] for n in names])
@@ -70,26 +41,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def crc32_text(value: object) -> int:
-    return zlib.crc32(str(value).encode())
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """rows inner join groups on key, where groups has one row per key and column size counts its rows.
-
-    Groups with total / HOT_SHARE rows or more number HOT_SHARE at most: these are broadcast, so that a key
-    with a third of the rows stays where its rows are. The others meet in a shuffle, where no key is large.
-    """
-    floor = max(2, -(-total // HOT_SHARE))
-    hot = F.broadcast(groups.filter(F.col(size) >= floor).withColumn("_hot", F.lit(True)))
-    cold = groups.filter(F.col(size) < floor)
-    seen = rows.join(hot, key, "left")
-    names = [c for c in groups.columns if c != key]
-    found = seen.filter(F.col("_hot").isNotNull()).drop("_hot")
-    rest = seen.filter(F.col("_hot").isNull()).drop("_hot", *names)
-    return found.unionByName(rest.join(cold, key))
-
-
 def row_key(*parts: Column) -> Column:
     """One string for some columns' values, null told from text, by which rows are found again."""
     return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts])
