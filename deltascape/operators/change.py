@@ -211,7 +211,7 @@ def reference_recall(matches: DataFrame, predictions: DataFrame) -> DataFrame:
     )
     every = predictions.agg(F.count_distinct("id").alias("prediction_candidate_count"), F.array_sort(F.collect_set("id")).alias("every"))
     out = sums.join(F.broadcast(every))  # one row each
-    return out.withColumn("reference_recall", F.round(F.col("detected_reference_count") / F.col("human_confirmed_reference_count"), 4)).withColumn(
+    return out.withColumn("reference_recall", F.round(F.try_divide("detected_reference_count", "human_confirmed_reference_count"), 4)).withColumn(
         "unmatched_prediction_ids_requiring_review", F.array_except("every", "prediction_ids_matching_real_reference")
     ).drop("every")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from deltascape.functions import polygons as P
 from deltascape.functions.geometry import Box
+from deltascape.plans.storage import materialise
 
 CORNERS = ("x0", "y0", "x1", "y1")
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -143,21 +144,19 @@ def nearest_any(left: DataFrame, right: DataFrame, start: float, left_key: str)
     """Distance of each row of left to the nearest row of right, however far: rings of doubling radius, each for the rows
     that the smaller ones left alone. Columns <left_key> and nearest_distance; no rows if right is empty."""
     reach = left.select(*CORNERS).unionByName(right.select(*CORNERS)).agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
-    found = None
     if reach[0] is None or right.isEmpty():
         return left.select(left_key).withColumn("nearest_distance", F.lit(None).cast("double"))
     most = float(np.hypot(reach[2] - reach[0], reach[3] - reach[1])) + 1
-    rest, radius = left, float(start)
+    goals = right.withColumn("_key", F.lit(0))
+    found, rest, radius = None, materialise(left, "far"), float(start)
     while True:
-        near = nearest(rest, right.withColumn("_key", F.lit(0)), radius, max(2 * radius, start), left_key, "_key").select(left_key, "nearest_distance").filter("nearest_distance IS NOT NULL")
+        near = nearest(rest, goals, radius, max(2 * radius, start), left_key, "_key").select(left_key, "nearest_distance").filter("nearest_distance IS NOT NULL")
+        near = materialise(near, "near")
         found = near if found is None else found.unionByName(near)
-        if radius > most:
+        if radius > most or rest.count() == near.count():
             return found
-        found = found.cache()
-        rest = left.join(found.select(left_key), left_key, "left_anti")
-        if rest.isEmpty():
-            return found
-        radius *= 4
+        rest = materialise(rest.join(near.select(left_key), left_key, "left_anti"), "far")
+        radius *= 8
 
 
 def semi(left: DataFrame, right: DataFrame, d: float, side: float, key: str) -> DataFrame:

@@ -156,7 +156,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def world_file(text: Column) -> Column:
     """The affine (a, b, c, d, e, f) of a world file's six lines, which stand in the order a, d, b, e, c, f."""
-    v = F.transform(F.split(F.trim(text), r"\s+"), lambda s: s.cast("double"))
+    v = F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda s: s.cast("double"))
     return F.struct(v[0].alias("a"), v[2].alias("b"), v[4].alias("c"), v[1].alias("d"), v[3].alias("e"), v[5].alias("f"))
 
 
