@@ -16,6 +16,8 @@ from .spatial import CORNERS, anti, in_order, near_pairs, nearest, nearest_any,
 
 #: Words that mark a classification as construction, fixed values.
 CONSTRUCTION_WORDS = ("building", "extension", "pool", "driveway", "pav")
+#: Proximity graphs of at most this many edges are solved in one task.
+ONE_TASK_EDGES = 500_000
 NEW, EXTENSION = "new_building_footprint_candidate", "building_extension_footprint_candidate"
 
 
@@ -89,7 +91,7 @@ def preferred_class(counted: DataFrame, key: str) -> DataFrame:
 def cluster(shapes: DataFrame, d: float, side: float, different: str | None = None) -> DataFrame:
     """idx and cluster (its smallest idx) of shapes joined by proximity, perhaps between unlike values of a column only."""
     pairs = self_pairs(shapes, d, side, "idx", different).select(F.col("l_idx").alias("u"), F.col("r_idx").alias("v"))
-    joined = connected_components(pairs.select("u", "v"))
+    joined = connected_components(pairs.select("u", "v"), ONE_TASK_EDGES)
     return shapes.select("idx").join(joined.select(F.col("node").alias("idx"), "root"), "idx", "left").select("idx", F.coalesce("root", "idx").alias("cluster"))
 
 
@@ -201,19 +203,21 @@ def reference_matches(reference: DataFrame, predictions: DataFrame, match_distan
     return out.withColumn("detected", F.size("matched_prediction_ids") > 0)
 
 
-def reference_recall(matches: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row: confirmed and detected counts, recall, and the prediction ids that hit, hit rejected ones, or need review."""
-    real, ids = F.col("real"), F.col("matched_prediction_ids")
-    sums = matches.agg(
-        F.count_if(real).alias("human_confirmed_reference_count"), F.count_if(real & F.col("detected")).alias("detected_reference_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(real, ids))))).alias("prediction_ids_matching_real_reference"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(~real, ids))))).alias("prediction_ids_matching_rejected_reference"),
-    )
-    every = predictions.agg(F.count_distinct("id").alias("prediction_candidate_count"), F.array_sort(F.collect_set("id")).alias("every"))
+def prediction_outcomes(matches: DataFrame, predictions: DataFrame) -> DataFrame:
+    """id of each prediction, whether it hits a real reference, whether it hits a rejected one; one that hits no real
+    one needs review."""
+    pairs = matches.select("real", F.explode("matched_prediction_ids").alias("id"))
+    by_id = pairs.groupBy("id").agg(F.bool_or("real").alias("hit"), F.bool_or(~F.col("real")).alias("hit_rejected"))
+    no = F.lit(False)
+    return predictions.select("id").distinct().join(by_id, "id", "left").select("id", F.coalesce("hit", no).alias("hit"), F.coalesce("hit_rejected", no).alias("hit_rejected"))
+
+
+def reference_recall(matches: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row: confirmed and detected references, recall, predictions, and how many hit, hit rejected ones, need review."""
+    sums = matches.agg(F.count_if("real").alias("human_confirmed_reference_count"), F.count_if(F.col("real") & F.col("detected")).alias("detected_reference_count"))
+    every = outcomes.agg(F.count("*").alias("prediction_candidate_count"), F.count_if("hit").alias("hit"), F.count_if("hit_rejected").alias("rejected"), F.count_if(~F.col("hit")).alias("unmatched"))
     out = sums.join(F.broadcast(every))  # one row each
-    return out.withColumn("reference_recall", F.round(F.try_divide("detected_reference_count", "human_confirmed_reference_count"), 4)).withColumn(
-        "unmatched_prediction_ids_requiring_review", F.array_except("every", "prediction_ids_matching_real_reference")
-    ).drop("every")
+    return out.withColumn("reference_recall", F.round(F.try_divide("detected_reference_count", "human_confirmed_reference_count"), 4))
 
 
 def new_objects(old: DataFrame, new: DataFrame, side: float = 64.0) -> DataFrame:

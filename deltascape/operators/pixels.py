@@ -52,13 +52,13 @@ def change_score(colour: Column, edge: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.8 * colour + 0.2 * edge))
 
 
-def pixel_components(mask: DataFrame, eight: bool = True) -> DataFrame:
+def pixel_components(mask: DataFrame, eight: bool = True, one_task_edges: int = 500_000) -> DataFrame:
     """scene, row, col and label (its least pixel) of the connected regions of mask (scene, row, col, pid: a number that
     rises with row and col and is unique over all scenes)."""
     steps = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if eight else [])
     moves = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps])
     shifted = mask.select("scene", F.col("pid").alias("u"), F.explode(moves).alias("m"), "row", "col").select("scene", "u", (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col"))
-    joined = connected_components(shifted.join(mask.select("scene", "row", "col", F.col("pid").alias("v")), ["scene", "row", "col"]).select("u", "v"))
+    joined = connected_components(shifted.join(mask.select("scene", "row", "col", F.col("pid").alias("v")), ["scene", "row", "col"]).select("u", "v"), one_task_edges)
     return mask.join(joined.withColumnRenamed("node", "pid"), "pid", "left").select("scene", "row", "col", "pid", F.coalesce("root", "pid").alias("label"))
 
 

@@ -7,6 +7,7 @@ shuffle is needed to drop repeats. Dense cells are split by adaptive skew joins.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +24,16 @@ RINGS = "array<array<struct<x:double,y:double>>>"
 
 
 def as_rings(value) -> P.Rings:
-    """Rings of a row's geometry column (array of rings of points)."""
+    """Rings of a row's geometry column (array of rings of points), or of its JSON."""
+    value = json.loads(value) if isinstance(value, str) else value
     return [np.array([(p["x"], p["y"]) if isinstance(p, dict) else (p[0], p[1]) for p in ring], float) for ring in value]
 
 
-def _by_rows(f, kind: str = "double"):
-    """A vectorised function of columns from a function of a row's values; made when called, as workers import this too."""
+def _by_rows(f, nested: bool = True):
+    """A vectorised function of columns from a function of a row's values; made when called, as workers import this too.
+
+    Geometry goes to the workers as JSON: deeply nested arrays with nulls do not survive the way as Arrow.
+    """
 
     def one(a: pd.Series) -> pd.Series:
         return pd.Series([f(x) for x in a], dtype=float)
@@ -36,22 +41,23 @@ def _by_rows(f, kind: str = "double"):
     def two(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    return lambda *columns: F.pandas_udf(one if len(columns) == 1 else two, kind)(*columns)
+    plain = lambda c: F.to_json(F.col(c) if isinstance(c, str) else c) if nested else c
+    return lambda *columns: F.pandas_udf(one if len(columns) == 1 else two, "double")(*map(plain, columns))
 
 
 def _boxes(row) -> list[tuple[float, float, float, float]]:
     return [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in row if b is not None] if row is not None else []
 
 
-def _shapes(row) -> list[P.Rings]:
-    return [as_rings(s) for s in row if s is not None] if row is not None else []
+def _shapes(row: str | None) -> list[P.Rings]:
+    return [as_rings(s) for s in json.loads(row) if s is not None] if row is not None else []
 
 
 ring_distance = _by_rows(lambda a, b: P.distance(as_rings(a), as_rings(b)))
 ring_overlap = _by_rows(lambda a, b: P.overlap_area(as_rings(a), [as_rings(b)]))
 ring_area = _by_rows(lambda a: P.area(as_rings(a)))
 #: Area that an array of boxes (structs x0, y0, x1, y1), or of polygons, covers; and of a polygon within several.
-union_box_area = _by_rows(lambda row: covered(_boxes(row)))
+union_box_area = _by_rows(lambda row: covered(_boxes(row)), nested=False)
 union_ring_area = _by_rows(lambda row: P.union_area(_shapes(row)))
 overlap_of_many = _by_rows(lambda a, parts: P.overlap_area(as_rings(a), _shapes(parts)))
 

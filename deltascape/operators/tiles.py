@@ -163,5 +163,5 @@ def label_tiles(masks: DataFrame, tile: int = TILE) -> DataFrame:
     moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
     ahead = edge.select("scene", F.col("part").alias("u"), "row", "col", F.explode(moves).alias("m")).select("scene", "u", (F.col("row") + F.col("m.a")).alias("row"), (F.col("col") + F.col("m.b")).alias("col"))
     pairs = ahead.join(edge.withColumnRenamed("part", "v"), ["scene", "row", "col"]).filter("u <> v").select("u", "v").distinct()
-    joined = connected_components(pairs).select(F.col("node").alias("part"), F.col("root"))
+    joined = connected_components(pairs, 500_000).select(F.col("node").alias("part"), F.col("root"))
     return parts.join(joined, "part", "left").select("scene", "tile_row", "tile_col", F.coalesce("root", "part").alias("region"), "rows", "cols")

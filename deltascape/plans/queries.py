@@ -223,11 +223,9 @@ SELECT (SELECT count(*) FROM ref WHERE real) AS human_confirmed_reference_count,
 def vec05(spark, d):
     ref = V.fp_before(spark, d).filter("id % 2 = 0 OR id % 10 = 3").withColumn("real", F.col("id") % 10 != 3)
     pred = V.cand(spark, d).select("id", F.col("idx").alias("ordinal"), *S.CORNERS)
-    got = C.reference_recall(C.reference_matches(ref, pred), pred)
-    return got.select(
-        "human_confirmed_reference_count", "detected_reference_count", "reference_recall", "prediction_candidate_count", F.size("prediction_ids_matching_real_reference").alias("hit"),
-        F.size("prediction_ids_matching_rejected_reference").alias("rejected"), F.size("unmatched_prediction_ids_requiring_review").alias("unmatched"),
-    )
+    matches = C.reference_matches(ref, pred)
+    got = C.reference_recall(matches, C.prediction_outcomes(matches, pred))
+    return got.select("human_confirmed_reference_count", "detected_reference_count", "reference_recall", "prediction_candidate_count", *[F.col(c).cast("int").alias(c) for c in ("hit", "rejected", "unmatched")])
 
 
 # geometry

@@ -117,10 +117,10 @@ def feature_text(df: DataFrame, properties: list[str]) -> Column:
     """A row as a GeoJSON feature, as text."""
 
     def geometries(rings: pd.Series) -> pd.Series:
-        return rings.map(geometry_json)
+        return rings.map(lambda r: geometry_json(json.loads(r)))
 
     body = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
-    return F.concat(F.lit('{"type":"Feature","geometry":'), F.pandas_udf(geometries, "string")("rings"), F.lit(',"properties":'), body, F.lit("}"))
+    return F.concat(F.lit('{"type":"Feature","geometry":'), F.pandas_udf(geometries, "string")(F.to_json("rings")), F.lit(',"properties":'), body, F.lit("}"))
 
 
 def write_features(df: DataFrame, path: str, properties: list[str], order: list[Column]) -> None:

@@ -96,9 +96,13 @@ def test_corroborate(spark, polygons):
 def test_reference_recall(spark, polygons):
     ref = frame(spark, [(1, True, 0.0, 0.0, 10.0, 10.0), (2, True, 100.0, 0.0, 110.0, 10.0), (3, False, 200.0, 0.0, 210.0, 10.0)], "id long, real boolean", polygons)
     pred = frame(spark, [(11, 1, 2.0, 2.0, 4.0, 4.0), (12, 2, 202.0, 2.0, 204.0, 4.0), (13, 3, 900.0, 0.0, 910.0, 10.0), (13, 4, 901.0, 0.0, 910.0, 10.0)], "id long, ordinal long", polygons)
-    r = C.reference_recall(C.reference_matches(ref, pred, 2.0), pred).first()
-    assert (r.reference_recall, r.prediction_ids_matching_real_reference, r.prediction_ids_matching_rejected_reference, r.unmatched_prediction_ids_requiring_review) == (0.5, [11], [12], [12, 13])
-    assert r.prediction_candidate_count == 3
+    matches = C.reference_matches(ref, pred, 2.0)
+    outcomes = C.prediction_outcomes(matches, pred)
+    assert sorted((r.id, r.hit, r.hit_rejected) for r in outcomes.collect()) == [(11, True, False), (12, False, True), (13, False, False)]
+    r = C.reference_recall(matches, outcomes).first()
+    assert (r.reference_recall, r.hit, r.rejected, r.unmatched, r.prediction_candidate_count) == (0.5, 1, 1, 2, 3)
+    none = C.reference_recall(matches.limit(0), outcomes.limit(0)).first()
+    assert none.reference_recall is None and none.human_confirmed_reference_count == 0
 
 
 def test_survey_pair(spark):
@@ -129,7 +133,9 @@ def test_near_pairs_equal_brute_force(spark, seed):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1000), (5000, 5000)] + [(2000, k) for k in range(2001, 2400)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    table = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.root for r in connected_components(table).collect()}
+    assert got == {r.node: r.root for r in connected_components(table, 10_000).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000 and got[5000] == 5000 and all(got[k] == 2000 for k in range(2000, 2400))
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
