@@ -5,8 +5,8 @@ class is the number of distinct texts that it continues there, so a word that on
 probability in the class is the discounted count; the discounted mass goes to continuation counts that both classes
 share: each word of the corpus continues its stem (its first letters) once. A word whose counts do not differ between
 the classes beyond chance takes the shared estimate from both, as does a stem; a rare form of a telling stem so still
-tells. A text's score compares its two log-likelihoods per word, through a logistic curve fitted on rows that the
-scoring models have not seen.
+tells. A text's score compares its two log-likelihoods per word, and weighs the whole evidence, through a logistic curve fitted
+on rows that the scoring models have not seen.
 
 What ships to the workers is bounded at any corpus size: words (and stems) with at least one in 2**18 of all counts;
 there are at most 2**18. Rarer ones count in every sum and back off.
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, is_training, materialise, select_present
+from .near_dedup import shingle_set
 
 STEM = 5
 #: The most words, and stems, that a model holds by themselves.
@@ -31,6 +32,8 @@ MODEL_WORDS = 1 << 18
 #: The least G-squared statistic of a difference between classes that counts as more than chance (p below 0.0002).
 BEYOND_CHANCE = 14.0
 THRESHOLD = 0.7
+#: The whole evidence of a text counts up to this; a few words may have a high ratio by chance, not much evidence.
+MOST = 20.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Folds of the training rows that each model learns from: one for each fold left out, and the final one.
 FOLDS = {"a": (0,), "b": (1,), "ab": (0, 1)}
@@ -50,15 +53,22 @@ def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
 
 
+def least_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The least hash of each text's three-word shingles, on which near copies mostly agree; texts without words share one."""
+    for frame in frames:
+        sets = [shingle_set(t, 3) for t in frame["text"]]
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "h": np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)})
+
+
 class BackoffModel:
     """Log ratios of the words and stems that tell the classes apart; all else has ratio 0."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
 
-    def mean_ratio(self, texts: pd.Series) -> np.ndarray:
-        """Per text the log-likelihood ratio, toxic over ordinary, by word; 0 for a text without words."""
-        words, stems, out = self.words.get, self.stems.get, np.zeros(len(texts))
+    def evidence(self, texts: pd.Series) -> pd.DataFrame:
+        """Per text the log-likelihood ratio, toxic over ordinary: by word, and in all up to MOST; 0 without words."""
+        words, stems, out = self.words.get, self.stems.get, np.zeros((len(texts), 2))
         for i, text in enumerate(texts):
             found = set(WORD.findall((text or "").lower()))  # as in training, a word counts once a text
             total = 0.0
@@ -69,8 +79,8 @@ class BackoffModel:
                     if r is None:
                         continue
                 total += r
-            out[i] = total / max(len(found), 1)
-        return out
+            out[i] = total / max(len(found), 1), min(max(total, -MOST), MOST)
+        return pd.DataFrame(out, columns=["ratio", "total"])
 
 
 def discount(n1: float, n2: float) -> float:
@@ -130,38 +140,41 @@ def build_models(counts: DataFrame) -> dict[str, BackoffModel]:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the curve through weighted points, by Newton steps with a slight pull to 0."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes of the columns of x, and the offset, of the curve through weighted points, by Newton steps with a slight
+    pull to 0."""
+    out = np.zeros(x.shape[1] + 1)
     ones = float((weight * y).sum())
     if not len(y) or not 0 < ones < weight.sum():
-        return 0.0, 0.0 if not len(y) else float(6 * y[0] - 3)
-    mean = np.average(x, weights=weight)
-    scale = np.sqrt(np.average((x - mean) ** 2, weights=weight)) or 1.0
-    a = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
+        out[-1] = 0.0 if not len(y) else float(6 * y[0] - 3)
+        return out
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight))
+    scale[scale == 0] = 1.0
+    a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    pull = np.array([0.05] * x.shape[1] + [1e-9])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + [0.05 * w[0], 0]
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([0.05, 1e-9])
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(a @ out, -30, 30)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (weight * (p - y)) + pull * out)
+        out -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+    slopes = out[:-1] / scale
+    return np.append(slopes, out[-1] - slopes @ mean)
 
 
-def ratio_udf(spark: SparkSession, model: BackoffModel):
+def evidence_udf(spark: SparkSession, model: BackoffModel):
     shipped = spark.sparkContext.broadcast(model)
 
-    def ratios(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series(shipped.value.mean_ratio(texts))
+            yield shipped.value.evidence(texts)
 
-    return F.pandas_udf(ratios, "double")
+    return F.pandas_udf(weigh, "ratio double, total double")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[BackoffModel, float, float]:
-    """The model, and slope and offset of the curve, from all labelled training rows.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[BackoffModel, np.ndarray]:
+    """The model, and slopes and offset of the curve, from all labelled training rows.
 
     Both folds of the training rows score one another for the curve, whose points come as a histogram.
     """
@@ -169,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Bac
     own = select_present(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & is_training(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
     texts = select_present(docs, "doc_id", "text").filter(is_training(F.col("doc_id")))
-    # of texts that are equal one counts; only ids and hashes move for that
-    once = texts.select("doc_id", F.xxhash64("text").alias("h")).join(own, "doc_id").groupBy("h").agg(F.min_by("label", "doc_id").alias("label"), F.min("doc_id").alias("doc_id"))
+    # of copies and near copies one counts, or few: texts that share the least hash of their shingles; only ids and hashes move
+    key = docs.schema["doc_id"].dataType.simpleString()
+    once = texts.mapInPandas(least_shingles, f"doc_id {key}, h long").join(own, "doc_id").groupBy("h").agg(F.min_by("label", "doc_id").alias("label"), F.min("doc_id").alias("doc_id"))
     fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).cast("int")
     rows = materialise(texts.join(once.select("doc_id", "label"), "doc_id").select("text", "label", fold.alias("fold")), "labelled")
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
@@ -179,13 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Bac
     models = build_models(counts)
     points = []
     for f, unseen in ((0, "b"), (1, "a")):
-        cell = F.round(ratio_udf(spark, models[unseen])("text"), 3)
-        points.append(rows.filter(F.col("fold") == f).select("label", cell.alias("x")).groupBy("label", "x").count().toPandas())
-    points = pd.concat(points).sort_values(["x", "label"])
-    slope, offset = logistic(points["x"].to_numpy(float), points["label"].to_numpy(float), points["count"].to_numpy(float))
+        seen = rows.filter(F.col("fold") == f).select("label", evidence_udf(spark, models[unseen])("text").alias("e"))
+        points.append(seen.groupBy("label", F.round("e.ratio", 3).alias("ratio"), F.round("e.total", 0).alias("total")).count().toPandas())
+    points = pd.concat(points).sort_values(["ratio", "total", "label"])
+    curve = logistic(points[["ratio", "total"]].to_numpy(float), points["label"].to_numpy(float), points["count"].to_numpy(float))
     discard(rows)
     discard(counts)
-    return models["ab"], slope, offset
+    return models["ab"], curve
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -193,10 +207,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
 
     Only text is an input of a score. Empty and null texts, and texts without letters, have a ratio of 0. Without
     training rows of both classes all texts get the same score. Rows that repeat an id each have a score;
-    of equal training texts one is learnt from, with the label of its smallest id, and an id that the label table
+    of training texts that share a least shingle one is learnt from, with the label of its smallest id, and an id that the label table
     repeats has its largest label. An empty table gives
     no rows.
     """
-    model, slope, offset = train(docs, labels, label)
-    score = 1 / (1 + F.exp(-(F.lit(slope) * ratio_udf(docs.sparkSession, model)("text") + F.lit(offset))))
-    return docs.withColumn("_score", score).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    model, curve = train(docs, labels, label)
+    out = docs.withColumn("_evidence", evidence_udf(docs.sparkSession, model)("text"))
+    logit = F.lit(float(curve[0])) * F.col("_evidence.ratio") + F.lit(float(curve[1])) * F.col("_evidence.total") + F.lit(float(curve[2]))
+    out = out.withColumn("_score", 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), logit)))))
+    return out.drop("_evidence").withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
