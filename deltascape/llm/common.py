@@ -17,7 +17,7 @@ __all__ = ["discard", "join_groups", "materialise", "shared_dir"]
 SPACE = r"\x20\x09-\x0D"
 
 #: Bytes of a batch that a Python worker gets at once; a longer text is a batch of its own.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
