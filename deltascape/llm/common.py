@@ -46,9 +46,20 @@ def row_key(*parts: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts])
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df (with column _key) and _nth, which tells apart rows of one key. They are alike, so any order will do."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to be none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, key: str, nth: str) -> DataFrame:
+    """df with a column nth that tells apart rows of one key. They are alike, so any order will do."""
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
 
 
 def stream_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:

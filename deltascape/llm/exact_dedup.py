@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_groups, materialise, numbered, row_key, select_present, splitmix
+from .common import SPACE, fresh, join_groups, materialise, numbered, row_key, select_present, splitmix
 
 #: Mean chunk length in bytes (a power of two) and the longest chunk.
 MEAN_CHUNK, MAX_CHUNK = 2048, 65536
@@ -114,8 +114,9 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     The rows that stay are found again by id, text hash and length, in one shuffle of docs; of rows equal in all
     three one stays.
     """
-    kept = exact_dedup(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256"), F.col("n_points")).alias("_key"))
+    key, nth = fresh(docs, "key", "nth")
+    kept = exact_dedup(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256"), F.col("n_points")).alias(key))
     text = F.coalesce(docs["text"], F.lit(""))
     sha = F.sha2(F.regexp_replace(text, rf"[{SPACE}]+", "").cast("binary"), 256)
-    rows = docs.withColumn("_key", row_key(docs["doc_id"], sha, F.char_length(text).cast("long")))
-    return numbered(rows).filter("_nth = 1").join(kept, "_key", "left_semi").select(*docs.columns)
+    rows = docs.withColumn(key, row_key(docs["doc_id"], sha, F.char_length(text).cast("long")))
+    return numbered(rows, key, nth).filter(F.col(nth) == 1).join(kept, key, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from deltascape.operators.components import connected_components
 
-from .common import discard, join_groups, materialise, numbered, row_key, select_present, splitmix, stream_groups
+from .common import discard, fresh, join_groups, materialise, numbered, row_key, select_present, splitmix, stream_groups
 
 #: Signature length, rows of a band, hashes compared at a time. A pair at similarity 0.85 misses all bands with
 #: probability (1 - 0.85**4)**16, below 1e-5.
@@ -325,10 +325,11 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
 
     The rows that stay are found again by id and text hash, in one shuffle of docs; of rows equal in both one stays.
     """
+    key, nth = fresh(docs, "key", "nth")
     own = near_duplicates(docs, shingle_words, percent).filter("kept").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
-    stay = own.select(row_key(F.col("component_id"), F.col("text_hash")).alias("_key"))
-    rows = docs.withColumn("_key", row_key(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))))
-    return numbered(rows).filter("_nth = 1").join(stay, "_key", "left_semi").select(*docs.columns)
+    stay = own.select(row_key(F.col("component_id"), F.col("text_hash")).alias(key))
+    rows = docs.withColumn(key, row_key(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))))
+    return numbered(rows, key, nth).filter(F.col(nth) == 1).join(stay, key, "left_semi").select(*docs.columns)
 
 
 def _straggling(big: DataFrame, links: DataFrame, full: DataFrame, size: int, percent: int) -> DataFrame:

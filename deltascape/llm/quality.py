@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_training, select_present, splitmix
+from .common import fresh, is_training, select_present, splitmix
 
 #: The most labelled rows that the fit reads, chosen by hash of the id.
 SAMPLE_ROWS = 2000
@@ -155,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return np.frombuffer(model["weights"], np.float32), model["offset"]
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns and, of every row, _score (probability of label 1) and _predicted.
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, names: tuple[str, str] = ("_score", "_predicted")) -> DataFrame:
+    """docs' columns and, of every row, the probability of label 1 and the prediction, in columns of the given names.
 
     Only text is an input of a score. Null and empty texts get the offset's score; without training rows of both
     classes all texts get one score. Rows that repeat an id each have a score. An empty table gives no rows.
@@ -168,4 +168,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: i
         for texts in batches:
             yield pd.Series(score_texts(texts, *model.value))
 
-    return docs.withColumn("_score", F.pandas_udf(scored, "double")("text")).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    return docs.withColumn(names[0], F.pandas_udf(scored, "double")("text")).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the classifier accepts; the columns stay as they are."""
+    names = fresh(docs, "score", "predicted")
+    return classify(docs, labels, names=tuple(names), **options).filter(F.col(names[1]) == 1).select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, numbered, row_key, select_present
+from .common import SPACE, fresh, materialise, numbered, row_key, select_present
 
 #: Documents in a slice of a source's key range, on average.
 SLICE_ROWS = 8192
@@ -101,16 +101,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     source's sample up to the budget's last word. Documents that are not taken go. Column n_chars, where there is one,
     follows a cut text.
     """
-    taken = mix_sources(docs, **options).filter("taken > 0").withColumn("_key", row_key(F.col("doc_id"), F.col("source"), F.col("size")))
-    rows = docs.withColumn("_size", word_count(docs["text"]))
-    rows = rows.withColumn("_key", row_key(docs["doc_id"], docs["source"], F.col("_size")))
-    both = numbered(rows).join(numbered(taken.select("_key", "taken")), ["_key", "_nth"])
-    whole, rest = F.floor(F.col("taken") / F.col("_size")).cast("int"), F.col("taken") % F.col("_size")
-    lengths = F.concat(F.array_repeat(F.col("_size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    each = both.withColumn("_words", F.explode(lengths))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    out = each.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
+    key, nth, size, words, taken = fresh(docs, "key", "nth", "size", "words", "taken")
+    counts = mix_sources(docs, **options).filter("taken > 0").select(row_key(F.col("doc_id"), F.col("source"), F.col("size")).alias(key), F.col("taken").alias(taken))
+    rows = docs.withColumn(size, word_count(docs["text"]))
+    rows = rows.withColumn(key, row_key(docs["doc_id"], docs["source"], F.col(size)))
+    both = numbered(rows, key, nth).join(numbered(counts, key, nth), [key, nth])
+    whole, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), F.col(taken) % F.col(size)
+    lengths = F.concat(F.array_repeat(F.col(size), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    each = both.withColumn(words, F.explode(lengths))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
+    part = F.col(words) < F.col(size)
+    out = each.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(part, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
