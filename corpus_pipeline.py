@@ -11,13 +11,13 @@ from deltascape.llm.common import materialise, table
 from deltascape.llm.exact_dedup import drop_duplicates
 from deltascape.llm.near_dedup import drop_near_duplicates
 from deltascape.llm.packing import pack
-from deltascape.llm.quality import classify
+from deltascape.llm.quality import accepted
 from deltascape.llm.source_mix import mixed_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter("_predicted = 1").select(*docs.columns)
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
