@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascape.functions.geometry import Box
+from deltascape.plans.storage import in_order
 
 from .components import connected_components
-from .spatial import CORNERS, anti, in_order, near_pairs, nearest, nearest_any, overlap_of_many, prefixed, ring_area, ring_distance, ring_overlap, self_pairs, semi, union_box_area, union_ring_area
+from .spatial import CORNERS, anti, near_pairs, nearest, nearest_any, overlap_of_many, prefixed, ring_area, ring_distance, ring_overlap, self_pairs, semi, union_box_area, union_ring_area
 
 #: Words that mark a classification as construction, fixed values.
 CONSTRUCTION_WORDS = ("building", "extension", "pool", "driveway", "pav")
@@ -165,9 +166,13 @@ def support_tier(sources: Column, support: Column, min_sources: int, strong: flo
     return F.when((sources >= min_sources) & (support >= strong), "corroborated").when(sources > 0, "weakly_corroborated").otherwise("footprint_only")
 
 
-def corroborate(footprints: DataFrame, evidence: DataFrame, support_distance: float = 2.0, strong_support: float = 0.10, min_sources: int = 2, side: float = 64.0) -> DataFrame:
+def corroborate(footprints: DataFrame, evidence: DataFrame, support_distance: float = 2.0, strong_support: float = 0.10, min_sources: int = 2, side: float = 64.0, all_sources: bool = False) -> DataFrame:
     """footprints (idx, shape) with their support by change evidence (source, shape): tier, sources, the covered share, and
-    by source the covered share and distance (within the support distance). Footprints of no area stay out; none other is dropped."""
+    by source the covered share and distance. Footprints of no area stay out; none other is dropped.
+
+    The map by source holds those within the support distance; with all_sources also the distance of every other
+    source (their names, a handful, come to the driver).
+    """
     if support_distance < 0 or not 0 <= strong_support <= 1 or min_sources < 1:
         raise ValueError("support parameters are outside their ranges")
     rings = "rings" in footprints.columns and "rings" in evidence.columns
@@ -180,9 +185,15 @@ def corroborate(footprints: DataFrame, evidence: DataFrame, support_distance: fl
     covered = lambda parts: overlap_of_many(F.first("l_rings"), parts) if rings else union_box_area(parts)
     by_source = pairs.groupBy("l_idx", "r_source").agg(covered(F.collect_list(one)).alias("cover"), F.min("distance").alias("distance"), F.first("l_area").alias("area"))
     detail = F.map_from_entries(F.array_sort(F.collect_list(F.struct("r_source", F.struct(F.round(F.col("cover") / F.col("area"), 4).alias("overlap_fraction"), F.round("distance", 2).alias("distance_m"))))))
-    by_source = by_source.groupBy("l_idx").agg(F.array_sort(F.collect_list("r_source")).alias("supporting_sources"), detail.alias("per_source"))
+    by_source = by_source.withColumn("near", F.lit(True))
+    for name in [r["source"] for r in evidence.select("source").distinct().collect()] if all_sources else []:
+        own = evidence.filter(F.col("source") == name)
+        rest = shapes.join(by_source.filter((F.col("r_source") == name) & F.col("near")).select(F.col("l_idx").alias("idx")), "idx", "left_anti")
+        far = nearest_any(rest, own, 8 * side, "idx").join(rest.select("idx", "area"), "idx")
+        by_source = by_source.unionByName(far.select(F.col("idx").alias("l_idx"), F.lit(name).alias("r_source"), F.lit(0.0).alias("cover"), F.col("nearest_distance").alias("distance"), "area", F.lit(False).alias("near")))
+    by_source = by_source.groupBy("l_idx").agg(F.array_sort(F.collect_list(F.when(F.col("near"), F.col("r_source")))).alias("supporting_sources"), detail.alias("per_source"))
     total = pairs.groupBy("l_idx").agg(covered(F.collect_list(one)).alias("cover_all"))
-    rows = shapes.join(by_source.join(total, "l_idx").withColumnRenamed("l_idx", "idx"), "idx", "left")
+    rows = shapes.join(by_source.join(total, "l_idx", "left").withColumnRenamed("l_idx", "idx"), "idx", "left")
     rows = rows.withColumn("supporting_sources", F.coalesce("supporting_sources", F.array().cast("array<string>"))).withColumn("source_count", F.size("supporting_sources"))
     share = F.coalesce(F.col("cover_all"), F.lit(0.0)) / F.col("area")
     return rows.withColumn("tier", support_tier(F.col("source_count"), share, min_sources, strong_support)).withColumn("support_fraction", F.round(share, 4)).drop("cover_all")

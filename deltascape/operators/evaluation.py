@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltascape.plans.storage import in_order
+
 #: Size bands (lower bound of each) and the classes of a report, fixed values.
 BANDS = (("small", 0.0), ("medium", 60.0), ("large", 150.0))
 FLOAT32_EPS = 1.1920929e-07
@@ -64,7 +66,7 @@ def stratified_sample(df: DataFrame, plan: DataFrame, key: str, seed: int) -> Da
 
 
 def review_order(df: DataFrame, area: str, key: str) -> DataFrame:
-    return df.withColumn("review_order", F.row_number().over(Window.orderBy(F.desc(area), F.col(key))))
+    return in_order(df, "review_order", F.desc(area), F.col(key))
 
 
 def weighted_precision(sample: DataFrame, labels: DataFrame, plan: DataFrame) -> DataFrame:

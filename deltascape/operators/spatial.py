@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltascape.functions import polygons as P
@@ -182,7 +182,3 @@ def box_cells(df: DataFrame, box: Box) -> DataFrame:
     across, upward = F.sequence(box.x0.cast("long"), box.x1.cast("long") - 1), F.sequence(box.y0.cast("long"), box.y1.cast("long") - 1)
     return df.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(upward))
 
-
-def in_order(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df with a column that numbers its rows from 1 in a total order. All rows meet in one task: for report-sized results."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

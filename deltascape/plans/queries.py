@@ -17,6 +17,7 @@ from deltascape.operators import spatial as S
 from deltascape.operators.components import connected_components
 
 from . import views as V
+from .storage import in_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,7 +169,7 @@ g AS (SELECT DISTINCT a.id, x, y FROM fp_after a JOIN fp_before b ON {OVER} > 0,
 c AS (SELECT id, count(*) AS inside FROM g GROUP BY id),
 q AS (SELECT a.id, a.ordinal, {AREA} AS area, {AREA} - coalesce(c.inside, 0) AS outside, m.ids, st.near, st.best FROM fp_after a JOIN st ON st.id = a.id LEFT JOIN m ON m.id = a.id LEFT JOIN c ON c.id = a.id WHERE {AREA} >= 20),
 k AS (SELECT *, CASE WHEN ids IS NULL THEN 'new_building_footprint_candidate' WHEN outside / area::DOUBLE >= 0.25 THEN 'building_extension_footprint_candidate' END AS classification FROM q)
-SELECT id, classification, round(area::DOUBLE, 1) AS area_m2, round(outside::DOUBLE, 1) AS outside_before_area_m2, CASE WHEN ids IS NULL THEN 0.0::DOUBLE ELSE round(1 - outside / area::DOUBLE, 3) END AS before_overlap_fraction, round(near, 1) AS nearest_before_footprint_distance_m, round(best, 3) AS best_before_footprint_iou, array_to_string(coalesce(ids, []), ',') AS matched_before_footprint_ids, (row_number() OVER (ORDER BY area DESC, ordinal))::INTEGER AS candidate_id FROM k WHERE classification IS NOT NULL""")
+SELECT id, classification, round(area::DOUBLE, 1) AS area_m2, round(outside::DOUBLE, 1) AS outside_before_area_m2, CASE WHEN ids IS NULL THEN 0.0::DOUBLE ELSE round(1 - outside / area::DOUBLE, 3) END AS before_overlap_fraction, round(near, 1) AS nearest_before_footprint_distance_m, round(best, 3) AS best_before_footprint_iou, array_to_string(coalesce(ids, []), ',') AS matched_before_footprint_ids, (row_number() OVER (ORDER BY area DESC, ordinal)) AS candidate_id FROM k WHERE classification IS NOT NULL""")
 def vec01(spark, d):
     out = C.compare_footprints(V.fp_before(spark, d), V.fp_after(spark, d))
     return out.withColumn("matched_before_footprint_ids", F.concat_ws(",", F.col("matched_before_footprint_ids").cast("array<string>")))
@@ -181,7 +182,7 @@ g AS (SELECT cluster, count(*) AS area FROM (SELECT DISTINCT cluster, x, y FROM
 a AS (SELECT m.cluster, any_value(g.area)::DOUBLE AS area_m2, count(DISTINCT source) AS source_count, count(*) AS raw_candidate_count, string_agg(DISTINCT source, ',' ORDER BY source) AS candidate_sources, coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') AS source_models, string_agg(source || ':' || id, ',' ORDER BY m.idx) AS source_candidate_ids, string_agg(DISTINCT m.classification, ',' ORDER BY m.classification) AS source_classifications FROM m JOIN g ON g.cluster = m.cluster GROUP BY m.cluster)"""
 
 
-@query("vec02_fuse_candidates", f"{FUSE} SELECT (row_number() OVER (ORDER BY source_count DESC, area_m2 DESC, a.cluster))::INTEGER AS candidate_id, a.cluster, f.classification, area_m2, source_count::INTEGER AS source_count, raw_candidate_count, candidate_sources, source_models, source_candidate_ids, source_classifications, CASE WHEN source_count > 1 THEN 'multi_source_agreement' ELSE 'single_source_candidate' END AS agreement FROM a JOIN f ON f.cluster = a.cluster AND f.k = 1")
+@query("vec02_fuse_candidates", f"{FUSE} SELECT (row_number() OVER (ORDER BY source_count DESC, area_m2 DESC, a.cluster)) AS candidate_id, a.cluster, f.classification, area_m2, source_count::INTEGER AS source_count, raw_candidate_count, candidate_sources, source_models, source_candidate_ids, source_classifications, CASE WHEN source_count > 1 THEN 'multi_source_agreement' ELSE 'single_source_candidate' END AS agreement FROM a JOIN f ON f.cluster = a.cluster AND f.k = 1")
 def vec02(spark, d):
     out = C.fuse_candidates(V.cand(spark, d))
     for c in ("candidate_sources", "source_models", "source_candidate_ids", "source_classifications"):
@@ -197,7 +198,7 @@ t AS (SELECT 0 AS k, cluster AS i, 'c' AS role, id, source, kind, x0, y0, x1, y1
 g AS (SELECT k, i, count(*) AS area FROM (SELECT DISTINCT k, i, x, y FROM t, unnest(range(x0, x1)) t1(x), unnest(range(y0, y1)) t2(y)) GROUP BY k, i),
 z AS (SELECT t.k, t.i, any_value(g.area)::DOUBLE AS site_area_m2, count(*) FILTER (role = 'c') AS change_evidence_count, count(*) FILTER (role = 'f') AS footprint_evidence_count, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (role = 'c'), '') AS change_candidate_ids, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (role = 'f'), '') AS footprint_candidate_ids, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS change_sources, coalesce(max(CASE WHEN role = 'c' THEN kind + 1 END), 0) AS n FROM t JOIN g ON g.k = t.k AND g.i = t.i GROUP BY t.k, t.i),
 q AS (SELECT *, CASE WHEN n >= 3 AND footprint_evidence_count > 0 THEN 'high' WHEN n >= 2 OR footprint_evidence_count > 0 THEN 'medium' ELSE 'low' END AS review_priority FROM z)
-SELECT (row_number() OVER (ORDER BY CASE review_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, site_area_m2 DESC, k, i))::INTEGER AS candidate_id, CASE WHEN change_evidence_count > 0 THEN 'construction_site_candidate' ELSE 'footprint_only_site_candidate' END AS classification, site_area_m2, review_priority, change_evidence_count, footprint_evidence_count, change_candidate_ids, footprint_candidate_ids, change_sources FROM q""")
+SELECT (row_number() OVER (ORDER BY CASE review_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, site_area_m2 DESC, k, i)) AS candidate_id, CASE WHEN change_evidence_count > 0 THEN 'construction_site_candidate' ELSE 'footprint_only_site_candidate' END AS classification, site_area_m2, review_priority, change_evidence_count, footprint_evidence_count, change_candidate_ids, footprint_candidate_ids, change_sources FROM q""")
 def vec03(spark, d):
     changes = V.cand(spark, d).withColumn("sources", F.array("source")).withColumn("source_count", (F.col("kind") + 1).cast("int"))
     prints = V.fp_after(spark, d).withColumn("idx", F.col("id")).withColumn("classification", F.lit("footprint_candidate"))
@@ -453,12 +454,12 @@ def agg19(spark, d):
 # windows, sorts, sets
 
 
-@query("win01_renumber", f"{W} SELECT id, (row_number() OVER (ORDER BY w * h DESC, idx))::INTEGER AS candidate_id FROM cand")
+@query("win01_renumber", f"{W} SELECT id, (row_number() OVER (ORDER BY w * h DESC, idx)) AS candidate_id FROM cand")
 def win01(spark, d):
-    return S.in_order(V.cand(spark, d), "candidate_id", F.desc(F.col("w") * F.col("h")), F.col("idx")).select("id", "candidate_id")
+    return in_order(V.cand(spark, d), "candidate_id", F.desc(F.col("w") * F.col("h")), F.col("idx")).select("id", "candidate_id")
 
 
-@query("win02_review_order", "SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id))::INTEGER AS review_order FROM documents")
+@query("win02_review_order", "SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id)) AS review_order FROM documents")
 def win02(spark, d):
     return E.review_order(V.table(spark, d, "documents"), "n_chars", "doc_id").select("doc_id", "review_order")
 
@@ -481,11 +482,11 @@ def win06(spark, d):
     return got.select("scene", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("v", 4).alias("v"))
 
 
-@query("srt02_enum_sort", "SELECT p, (row_number() OVER (ORDER BY CASE p WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, value DESC, event_id))::INTEGER AS place, event_id FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS p FROM events)")
+@query("srt02_enum_sort", "SELECT p, (row_number() OVER (ORDER BY CASE p WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, value DESC, event_id)) AS place, event_id FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS p FROM events)")
 def srt02(spark, d):
     k = F.col("event_id") % 3
     rows = V.table(spark, d, "events").withColumn("p", F.when(k == 0, "low").when(k == 1, "high").otherwise("medium"))
-    return S.in_order(rows, "place", C.priority_rank(F.col("p")), F.desc("value"), F.col("event_id")).select("p", "place", "event_id")
+    return in_order(rows, "place", C.priority_rank(F.col("p")), F.desc("value"), F.col("event_id")).select("p", "place", "event_id")
 
 
 @query("srt03_topk_area", f"{W} SELECT id, w * h AS area FROM cand WHERE w * h >= 50 ORDER BY area DESC, id LIMIT 50")

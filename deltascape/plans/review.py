@@ -19,7 +19,7 @@ from deltascape.operators.spatial import as_rings
 
 from .config import DetectionConfig
 from .detection import Grid, detect, region_rows, shadow_tiles
-from .storage import materialise
+from .storage import in_order, materialise
 
 
 def box_tiles(shapes: DataFrame, grid: Grid, tile: int = T.TILE) -> DataFrame:
@@ -91,10 +91,7 @@ def footprints_of(probability: DataFrame, grid: Grid, threshold: float, min_area
         F.round("area_m2", 1).alias("area_m2"), F.col("mean_change_score").alias("mean_probability"), "region", "rings",
         edge(F.array_min, "x").alias("x0"), edge(F.array_min, "y").alias("y0"), edge(F.array_max, "x").alias("x1"), edge(F.array_max, "y").alias("y1"),
     ), "footprints")
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.orderBy(F.desc("area_m2"), "x0", "y0"))
-    return made.withColumn("idx", order.cast("long")).withColumn("id", F.col("idx")).withColumn("ordinal", F.col("idx")).drop("region")
+    return in_order(made, "idx", F.desc("area_m2"), F.col("x0"), F.col("y0")).withColumn("id", F.col("idx")).withColumn("ordinal", F.col("idx")).drop("region")
 
 
 def compare_objects(before: DataFrame, after: DataFrame, grid: Grid, threshold: float = 0.5, **options) -> dict[str, DataFrame]:
@@ -114,11 +111,9 @@ def enhanced(channels: dict[str, DataFrame], merge_distance: float = 3.0) -> dic
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    from pyspark.sql import Window
-
     names = {n: k for k, n in enumerate(channels)}
     rank = F.element_at(F.create_map(*[x for n, k in names.items() for x in (F.lit(n), F.lit(k))]), F.col("source"))
-    numbered = materialise(every.withColumn("idx", F.row_number().over(Window.orderBy(rank, "id")).cast("long")), "channels")
+    numbered = materialise(in_order(every, "idx", rank, F.col("id")), "channels")
     fused = C.fuse_candidates(numbered, merge_distance)
     counts = numbered.groupBy("source").agg(F.count("*").alias("candidates"))
     return {"fused": fused, "channel_counts": counts, "by_sources": fused.groupBy("source_count").agg(F.count("*").alias("n"))}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group with at least one in this many of all rows is hot; so there are at most this many hot groups.
@@ -53,3 +53,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     found = seen.filter(F.col("_hot").isNotNull()).drop("_hot")
     rest = seen.filter(F.col("_hot").isNull()).drop("_hot", *names)
     return found.unionByName(rest.join(cold, key))
+
+
+def in_order(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with a column that numbers its rows from 1 in a total order.
+
+    The rows are range-sorted into a table; a row's number is its place in its partition behind the counts of the
+    partitions before. No task holds more than a partition, but for one row per partition.
+    """
+    sorted_rows = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialise(sorted_rows.withColumn("_part", F.shiftright("_at", 33)), "ordered")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))  # a row per partition
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_at", "_before")

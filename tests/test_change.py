@@ -88,6 +88,9 @@ def test_corroborate(spark, polygons):
     assert [got[i].tier for i in (1, 2, 3)] == ["corroborated", "weakly_corroborated", "footprint_only"]
     assert got[1].support_fraction == pytest.approx(1) and got[1].per_source["dino"].overlap_fraction == pytest.approx(1)
     assert got[2].per_source["pixel"].distance_m == pytest.approx(1.0, abs=0.01)
+    every = {r.idx: r for r in C.corroborate(prints, evidence, all_sources=True).collect()}
+    assert [every[i].tier for i in (1, 2, 3)] == [got[i].tier for i in (1, 2, 3)] and every[3].supporting_sources == []
+    assert set(every[3].per_source) == {"pixel", "dino"} and every[3].per_source["pixel"].distance_m == pytest.approx(lonlat_box(145.6, 0, 146, 1)[0] - edge[2] - 5, abs=0.1)
     with pytest.raises(ValueError):
         C.corroborate(prints, evidence, min_sources=0)
 
