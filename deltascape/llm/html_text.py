@@ -46,7 +46,7 @@ class Node:
 
     __slots__ = ("apart", "article", "path", "tag")
 
-    def __init__(self, tag: str, path: str, apart: bool, article: bool):
+    def __init__(self, tag: str, path: int, apart: bool, article: bool):
         self.tag, self.path, self.apart, self.article = tag, path, apart, article
 
 
@@ -77,7 +77,8 @@ def _apart(tag: str, attributes: str) -> bool:
 
 def blocks(page: str) -> list[Run]:
     """Blocks of a page in order, also those apart; broken markup is read as browsers do, roughly."""
-    stack = [Node("", "", False, False)]
+    stack = [Node("", 0, False, False)]
+    paths: dict[tuple[int, str], int] = {}  # a path is a number, found by the path above and the element
     runs: list[Run] = []
     run: Run | None = None
     links = 0
@@ -132,7 +133,7 @@ def blocks(page: str) -> list[Run]:
                 stack.pop()
         up = stack[-1]
         apart = up.apart or _apart(tag, attributes)
-        stack.append(Node(tag, f"{up.path}/{tag}", apart, up.article or tag in ("article", "main")))
+        stack.append(Node(tag, paths.setdefault((up.path, tag), len(paths) + 1), apart, up.article or tag in ("article", "main")))
         if tag in RAW and not attributes.endswith("/"):
             raw = tag
     for r in runs:
@@ -155,7 +156,7 @@ def main_text(page: str | None) -> str:
     runs = blocks(page or "")
     if not runs:
         return ""
-    sums: dict[str, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
     for r in runs:
         sums.setdefault(r.path, np.zeros(4))
         sums[r.path] += (len(r.text), len(PUNCTUATION.findall(r.text)), 1, min(r.linked, len(r.text)))
@@ -168,14 +169,14 @@ def main_text(page: str | None) -> str:
         linked = sums[r.path][3] > LINK_SHARE * sums[r.path][0]
         weights.append(0.0 if r.apart or in_article and not r.article else (0.2 if linked and not r.article else 1.0) * (ARTICLE_WEIGHT if r.article else 1.0))
     value = fused * np.array(weights)
-    by_path: dict[str, list[float]] = {}
+    by_path: dict[tuple[int, bool], list[float]] = {}
     for r, v in zip(runs, value, strict=True):
-        by_path.setdefault(r.path + ("!" if r.apart else ""), []).append(v)
+        by_path.setdefault((r.path, r.apart), []).append(v)
     # the article's weight lifts its paths over any spread of theirs; elsewhere the spread decides
     spread = np.std(fused[np.array(weights) > 0]) if any(weights) else 0.0
     bound = min(SPREAD * spread, float(fused.max()))
     kept = {p for p, v in by_path.items() if np.mean(v) > 0 and np.mean(v) >= bound}
-    return "\n\n".join(r.text for r in runs if r.path + ("!" if r.apart else "") in kept)
+    return "\n\n".join(r.text for r in runs if (r.path, r.apart) in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

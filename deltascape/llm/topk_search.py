@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, block_rows: i
     Queries are the rows whose vec_id is divisible by query_every, candidates all rows but the query's own. Vectors
     (columns vec_id and embedding are read) that are null, have no id or hold null or non-finite components take no
     part; empty vectors score 0 with one another. A vec_id that stands in several rows counts once, with the smallest
-    of its vectors. All vectors have the length of the most common one by contract; shorter ones are padded with 0.
+    of its vectors. Vectors shorter than the longest are as if filled with 0.
     Fewer candidates than k give fewer rows; an empty table none.
     """
     rows = integer_vectors(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
