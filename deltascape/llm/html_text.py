@@ -78,6 +78,7 @@ def _apart(tag: str, attributes: str) -> bool:
 def blocks(page: str) -> list[Run]:
     """Blocks of a page in order, also those apart; broken markup is read as browsers do, roughly."""
     stack = [Node("", 0, False, False)]
+    opened: dict[str, int] = {}
     paths: dict[tuple[int, str], int] = {}  # a path is a number, found by the path above and the element
     runs: list[Run] = []
     run: Run | None = None
@@ -119,19 +120,19 @@ def blocks(page: str) -> list[Run]:
             continue
         run, links = None, 0
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
+            while opened.get(tag, 0):  # one without an opening tag closes nothing
+                last = stack.pop().tag
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
-        if tag in ENDS_PARAGRAPH and stack[-1].tag == "p":
-            stack.pop()
-        while stack[-1].tag in CLOSES.get(tag, ()):
-            stack.pop()
+        while tag in ENDS_PARAGRAPH and stack[-1].tag == "p" or stack[-1].tag in CLOSES.get(tag, ()):
+            opened[stack.pop().tag] -= 1
         if tag == "body":  # a head that was not closed
             while len(stack) > 1 and stack[-1].tag != "html":
-                stack.pop()
+                opened[stack.pop().tag] -= 1
         up = stack[-1]
+        opened[tag] = opened.get(tag, 0) + 1
         apart = up.apart or _apart(tag, attributes)
         stack.append(Node(tag, paths.setdefault((up.path, tag), len(paths) + 1), apart, up.article or tag in ("article", "main")))
         if tag in RAW and not attributes.endswith("/"):
