@@ -402,7 +402,7 @@ def agg12(spark, d):
 
 @query("agg13_channel_stats", f"WITH {V.PX_SQL} SELECT col, round(avg(m), 4) AS mean, round(avg(s), 4) AS std FROM (SELECT scene, col, avg(v) AS m, stddev_pop(v) AS s FROM px GROUP BY scene, col) GROUP BY col")
 def agg13(spark, d):
-    return X.channel_stats(V.px(spark, d), "scene", "col", "v").select("col", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    return X.channel_stats(V.px(spark, d), "scene", "col", "v").select(F.col("col").cast("long").alias("col"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
 @query("agg14_verdict_counts", "SELECT event_type AS label, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, label")
