@@ -13,10 +13,10 @@ from deltascape.plans.storage import discard, join_groups, materialise
 MOST_ROUNDS = 60
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with, for each, the least of u and all its v as m."""
+def _stars(pairs: DataFrame, total: int) -> DataFrame:
+    """pairs (u, v), total in number, with, for each, the least of u and all its v as m."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-    return join_groups(pairs, least, "u", "degree", pairs.count()).withColumn("m", F.least("u", "m"))
+    return join_groups(pairs, least, "u", "degree", total).withColumn("m", F.least("u", "m"))
 
 
 def _union_find(frame: pd.DataFrame) -> pd.DataFrame:
@@ -52,12 +52,12 @@ def connected_components(edges: DataFrame, one_task_edges: int = 0) -> DataFrame
         return found.unionByName(alone.select("node", F.col("node").alias("root")))
     seen = None
     for _ in range(MOST_ROUNDS):
-        both = materialise(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        large = materialise(_stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        small = _stars(large)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = materialise(_stars(both, 2 * now.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        small = _stars(large, large.count())
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = materialise(after, "edges")
-        for old in (now, both, large):
+        for old in (now, large):
             discard(old)
         now = after
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
