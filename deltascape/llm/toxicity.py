@@ -8,8 +8,8 @@ the classes beyond chance takes the shared estimate from both, as does a stem; a
 tells. A text's score compares its two log-likelihoods per word, and weighs the whole evidence, through a logistic curve fitted
 on rows that the scoring models have not seen.
 
-What ships to the workers is bounded at any corpus size: words (and stems) with at least one in 2**18 of all counts;
-there are at most 2**18. Rarer ones count in every sum and back off.
+All words and stems are weighed, however rare in a large corpus, by Spark; those that tell make the model. It ships to
+the workers in shards by stem, of a bounded number of items, and texts pass once for each shard; mostly there is one.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import discard, is_training, materialise, select_present
 from .near_dedup import shingle_set
 
 STEM = 5
-#: The most words, and stems, that a model holds by themselves.
+#: The telling words and stems that a shard of the model holds, about.
 MODEL_WORDS = 1 << 18
 #: The least G-squared statistic of a difference between classes that counts as more than chance (p below 0.0002).
 BEYOND_CHANCE = 14.0
@@ -67,7 +67,7 @@ class BackoffModel:
         self.words, self.stems = words, stems
 
     def evidence(self, texts: pd.Series) -> pd.DataFrame:
-        """Per text the log-likelihood ratio, toxic over ordinary: by word, and in all up to MOST; 0 without words."""
+        """Per text the log-likelihood ratio, toxic over ordinary, and the number of words."""
         words, stems, out = self.words.get, self.stems.get, np.zeros((len(texts), 2))
         for i, text in enumerate(texts):
             found = set(WORD.findall((text or "").lower()))  # as in training, a word counts once a text
@@ -79,8 +79,41 @@ class BackoffModel:
                     if r is None:
                         continue
                 total += r
-            out[i] = total / max(len(found), 1), min(max(total, -MOST), MOST)
-        return pd.DataFrame(out, columns=["ratio", "total"])
+            out[i] = total, len(found)
+        return pd.DataFrame(out, columns=["total", "words"])
+
+
+class ShardedModel:
+    """The telling items of each model: a table (is_stem, item and a ratio, or null, for each), and how many shards it takes.
+
+    A word and its stem are in one shard, so that a text's evidence is the sum of what the shards give.
+    """
+
+    def __init__(self, items: DataFrame):
+        self.items = items
+        self.shards = max(1, -(-items.count() // MODEL_WORDS))
+
+    def shard(self, m: str, n: int) -> BackoffModel:
+        own = self.items.filter(F.col(m).isNotNull() & (F.pmod(F.xxhash64(F.substring("item", 1, STEM)), F.lit(self.shards)) == n))
+        found = own.select("is_stem", "item", m).toPandas()
+        return BackoffModel(*[dict(zip(part["item"], part[m].tolist(), strict=True)) for part in (found[~found["is_stem"]], found[found["is_stem"]])])
+
+    def weigh(self, df: DataFrame, m: str) -> DataFrame:
+        """df, which has a text, with _evidence: the ratio by word, and in all up to MOST; 0 without words."""
+        held = None
+        for n in range(self.shards):
+            own = evidence_udf(df.sparkSession, self.shard(m, n))("text")
+            if n == 0:
+                df = df.withColumn("_evidence", own)
+                continue
+            # a worker holds one shard at a time
+            last, held = held, materialise(df, "evidence")
+            if last is not None:
+                discard(last)
+            df = held.withColumn("_shard", own)
+            df = df.withColumn("_evidence", F.struct((F.col("_evidence.total") + F.col("_shard.total")).alias("total"), F.col("_evidence.words").alias("words"))).drop("_shard")
+        total, words = F.col("_evidence.total"), F.col("_evidence.words")
+        return df.withColumn("_evidence", F.struct((total / F.greatest(words, F.lit(1.0))).alias("ratio"), F.greatest(F.lit(-MOST), F.least(F.lit(MOST), total)).alias("total")))
 
 
 def discount(n1: float, n2: float) -> float:
@@ -88,30 +121,28 @@ def discount(n1: float, n2: float) -> float:
     return float(n1 / (n1 + 2 * n2)) if n1 and n2 else 0.75
 
 
-def g_squared(a: np.ndarray, all_a: float, b: np.ndarray, all_b: float) -> np.ndarray:
+def g_squared(a: Column, all_a: float, b: Column, all_b: float) -> Column:
     """The likelihood-ratio statistic of counts a of all_a against b of all_b."""
-    n, whole = a + b, max(all_a + all_b, 1.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * sum(np.where(x > 0, x * np.log(x / (n * all_x / whole)), 0.0) for x, all_x in ((a, all_a), (b, all_b)))
+    n, whole = F.greatest(a + b, F.lit(1.0)), all_a + all_b
+    part = lambda x, all_x: F.when(x > 0, x * F.log(x / (n * F.lit(all_x / whole)))).otherwise(0.0)
+    return F.lit(2.0) * (part(a, all_a) + part(b, all_b))
 
 
-def telling(kept: pd.DataFrame, sums: dict, shared: np.ndarray, texts: dict[int, float], m: str) -> dict[str, float]:
-    """Log ratios, by item, of the items of one level whose counts differ beyond chance between the classes' texts.
-    shared: their shared estimate."""
+def telling(sums: dict, shared: Column, texts: dict[int, float], m: str) -> Column:
+    """The log ratio of an item of one level, null unless its counts differ beyond chance between the classes' texts.
+    shared: its shared estimate."""
     if not texts[0] or not texts[1]:
-        return {}
+        return F.lit(None).cast("double")
     counts, p = {}, {}
     for c in (0, 1):
-        counts[c], total = kept[f"{m}{c}"].to_numpy(float), float(sums[f"N_{m}{c}"] or 0)
+        counts[c], total = F.col(f"{m}{c}").cast("double"), float(sums[f"N_{m}{c}"] or 0)
         d = discount(sums[f"one_{m}{c}"], sums[f"two_{m}{c}"])
-        p[c] = np.maximum(counts[c] - d, 0) / total + d * sums[f"types_{m}{c}"] / total * shared if total else shared
-    ratio = np.log(p[1] / p[0])
-    sure = g_squared(counts[1], texts[1], counts[0], texts[0]) > BEYOND_CHANCE
-    return dict(zip(kept["item"][sure], ratio[sure].tolist(), strict=True))
+        p[c] = F.greatest(counts[c] - d, F.lit(0.0)) / total + shared * (d * sums[f"types_{m}{c}"] / total) if total else shared
+    return F.when(g_squared(counts[1], texts[1], counts[0], texts[0]) > BEYOND_CHANCE, F.log(p[1] / p[0]))
 
 
-def build_models(counts: DataFrame) -> dict[str, BackoffModel]:
-    """The models from the counts by item (columns n<class><fold>): sums over all items, then the bounded rest."""
+def build_models(counts: DataFrame) -> ShardedModel:
+    """The models from the counts by item (columns n<class><fold>): sums over all items, then every telling item."""
     add = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
     named = [add([f"n{c}{f}" for f in folds]).alias(f"{m}{c}") for m, folds in FOLDS.items() for c in (0, 1)]
     is_stem = F.col("item").endswith("*")
@@ -128,16 +159,14 @@ def build_models(counts: DataFrame) -> dict[str, BackoffModel]:
             n = F.col(f"{m}{c}")
             sums += [F.sum(n).alias(f"N_{m}{c}"), F.count_if(n == 1).alias(f"one_{m}{c}"), F.count_if(n == 2).alias(f"two_{m}{c}"), F.count_if(n > 0).alias(f"types_{m}{c}")]
     of_words, of_stems = (x.agg(*sums).first().asDict() for x in (words, stems))
-    floor = lambda found: max(1, -(-sum(found[f"N_ab{c}"] or 0 for c in (0, 1)) // MODEL_WORDS))
-    kept_words = words.filter(F.col("ab0") + F.col("ab1") >= floor(of_words)).toPandas()
-    kept_stems = stems.filter(F.col("ab0") + F.col("ab1") >= floor(of_stems)).toPandas()
-    out = {}
+    own_words, own_stems = [], []
     for m in FOLDS:
-        types = max(of_words[f"types_{m}"], 1)
+        types = float(max(of_words[f"types_{m}"], 1))
         texts = {c: float(whole[f"{m}{c}"]) if whole else 0.0 for c in (0, 1)}
-        by_stem = np.maximum(kept_stems[f"{m}s"].to_numpy(float), 1.0) / types
-        out[m] = BackoffModel(telling(kept_words, of_words, np.full(len(kept_words), 1.0 / types), texts, m), telling(kept_stems, of_stems, by_stem, texts, m))
-    return out
+        own_words.append(telling(of_words, F.lit(1.0 / types), texts, m).alias(m))
+        own_stems.append(telling(of_stems, F.greatest(F.col(f"{m}s").cast("double"), F.lit(1.0)) / types, texts, m).alias(m))
+    found = words.select(F.lit(False).alias("is_stem"), "item", *own_words).unionByName(stems.select(F.lit(True).alias("is_stem"), "item", *own_stems))
+    return ShardedModel(materialise(found.filter(F.coalesce(*FOLDS).isNotNull()), "telling"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -170,15 +199,14 @@ def evidence_udf(spark: SparkSession, model: BackoffModel):
         for texts in batches:
             yield shipped.value.evidence(texts)
 
-    return F.pandas_udf(weigh, "ratio double, total double")
+    return F.pandas_udf(weigh, "total double, words double")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[BackoffModel, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[ShardedModel, np.ndarray]:
     """The model, and slopes and offset of the curve, from all labelled training rows.
 
     Both folds of the training rows score one another for the curve, whose points come as a histogram.
     """
-    spark = docs.sparkSession
     own = select_present(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & is_training(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
     texts = select_present(docs, "doc_id", "text").filter(is_training(F.col("doc_id")))
@@ -190,16 +218,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Bac
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
     counts = rows.mapInPandas(count_words, "item string, " + ", ".join(f"{n} long" for n in names))
     counts = materialise(counts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]), "items")
-    models = build_models(counts)
+    model = build_models(counts)
     points = []
     for f, unseen in ((0, "b"), (1, "a")):
-        seen = rows.filter(F.col("fold") == f).select("label", evidence_udf(spark, models[unseen])("text").alias("e"))
-        points.append(seen.groupBy("label", F.round("e.ratio", 3).alias("ratio"), F.round("e.total", 0).alias("total")).count().toPandas())
+        seen = model.weigh(rows.filter(F.col("fold") == f).select("label", "text"), unseen)
+        points.append(seen.groupBy("label", F.round("_evidence.ratio", 3).alias("ratio"), F.round("_evidence.total", 0).alias("total")).count().toPandas())
     points = pd.concat(points).sort_values(["ratio", "total", "label"])
     curve = logistic(points[["ratio", "total"]].to_numpy(float), points["label"].to_numpy(float), points["count"].to_numpy(float))
     discard(rows)
     discard(counts)
-    return models["ab"], curve
+    return model, curve
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -212,7 +240,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     no rows.
     """
     model, curve = train(docs, labels, label)
-    out = docs.withColumn("_evidence", evidence_udf(docs.sparkSession, model)("text"))
+    out = model.weigh(docs, "ab")
+    discard(model.items)
     logit = F.lit(float(curve[0])) * F.col("_evidence.ratio") + F.lit(float(curve[1])) * F.col("_evidence.total") + F.lit(float(curve[2]))
     out = out.withColumn("_score", 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), logit)))))
     return out.drop("_evidence").withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))

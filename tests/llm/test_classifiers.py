@@ -61,6 +61,18 @@ def test_toxicity_of_an_unseen_form_of_a_telling_stem(spark):
     assert scores[5007] > 0.7 > scores[5008]
 
 
+def test_toxicity_keeps_rare_telling_words_of_a_large_corpus(spark, monkeypatch):
+    """With a model far smaller than the corpus: each shard is shipped, and no telling word is lost."""
+    from deltascape.llm import toxicity as T
+
+    docs, labels = corpus(spark, lambda words, rng: " ".join([*words, rng.choice(["zorn", "scum", "nast", "vile", "crud", "muck"])]))
+    score = lambda: {(r.doc_id, r.text): r._score for r in toxicity(docs, labels).select("doc_id", "text", "_score").collect()}
+    whole = score()
+    monkeypatch.setattr(T, "MODEL_WORDS", 3)
+    assert score() == pytest.approx(whole, abs=1e-9)
+    accuracy(toxicity(docs, labels))
+
+
 @pytest.mark.parametrize("f", [classify, toxicity])
 def test_nothing_to_learn_from(spark, f):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
