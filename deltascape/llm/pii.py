@@ -9,7 +9,6 @@ a higher one removed. Counts are over the whole corpus; a term must go with seve
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +24,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Words on each side of an entity that count as near, and the code points in which they are sought.
 NEAR_WORDS, NEAR_CHARS = 5, 600
-#: Distinct entities of a kind that a term must be near; and at least one in so many of all that kind's entities. So at most 2 * NEAR_WORDS * RARE terms of a kind are weighed.
-SUPPORT, RARE = 3, 1 << 15
+#: Distinct entities of a kind that a term must be near.
+SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 WORD = re.compile(r"[^\W\d_]+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,42 +95,41 @@ def near_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "term", "entity", "n"])
 
 
-def term_rows(frames: Iterator[pd.DataFrame], weighed: frozenset[str]) -> Iterator[pd.DataFrame]:
-    """How often each weighed term stands in a partition's texts; the empty term has the count of all words."""
+def term_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each term stands in a batch's texts; the empty term has the count of all words."""
     for frame in frames:
         found: Counter = Counter()
         for text in frame["text"]:
             words = WORD.findall((text or "").lower())
             found[""] += len(words)
-            found.update(w for w in words if w in weighed)
+            found.update(words)
         yield pd.DataFrame({"term": list(found), "n": list(found.values())})
 
 
 def revealing_terms(docs: DataFrame) -> dict[str, tuple[str, float]]:
-    """Terms whose disclosure of a kind reaches GENERALISE: the kind and the disclosure. Their number is bounded."""
-    spark = docs.sparkSession
+    """Terms whose disclosure of a kind reaches GENERALISE: the kind and the disclosure. Only these leave Spark."""
     texts = select_present(docs, "text")
     near = texts.mapInPandas(near_rows, "kind string, term string, entity long, n long")
     near = materialise(near.groupBy("kind", "term", "entity").agg(F.sum("n").alias("n")), "near")
-    kinds = {r["kind"]: r for r in near.groupBy("kind").agg(F.approx_count_distinct("entity", 0.01).alias("entities"), F.sum("n").alias("slots")).collect()}
-    need = F.lit(SUPPORT)
-    for kind, r in kinds.items():
-        need = F.when(F.col("kind") == kind, max(SUPPORT, r["entities"] // RARE)).otherwise(need)
-    by_term = near.groupBy("kind", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n")).filter(F.col("support") >= need).toPandas()
+    slots = {r["kind"]: r["slots"] for r in near.groupBy("kind").agg(F.sum("n").alias("slots")).collect()}
+    by_term = materialise(near.groupBy("kind", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n")).filter(F.col("support") >= SUPPORT), "by-term")
     discard(near)
-    if not len(by_term):
+    if by_term.isEmpty():
+        discard(by_term)
         return {}
-    weighed = spark.sparkContext.broadcast(frozenset(by_term["term"]))
-    counts = texts.mapInPandas(lambda frames: term_rows(frames, weighed.value), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    total = dict(zip(counts["term"], counts["n"].tolist(), strict=True))
-    out: dict[str, tuple[str, float]] = {}
-    for r in by_term.sort_values(["term", "kind"]).itertuples():
-        p_kind = kinds[r.kind]["slots"] / max(total[""], 1)
-        p_given = min(1.0, r.n / max(total.get(r.term, 0), 1))
-        shown = math.log(p_given / p_kind) / -math.log(p_kind) if p_kind < 1 else 0.0
-        if shown >= GENERALISE and shown > out.get(r.term, ("", 0.0))[1]:
-            out[r.term] = (r.kind, shown)
-    return out
+    counts = materialise(texts.mapInPandas(term_rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("total")), "terms")
+    words = counts.filter("term = ''").first()["total"]
+    # a kind that is near every word has nothing to disclose
+    own = {k: n / max(words, 1) for k, n in slots.items() if 0 < n < max(words, 1)}
+    p_kind = F.create_map(*[F.lit(x) for k, p in own.items() for x in (k, p)])[F.col("kind")] if own else F.lit(None).cast("double")
+    given = by_term.join(counts, "term").withColumn("p_kind", p_kind).filter("p_kind IS NOT NULL")
+    p_given = F.least(F.lit(1.0), F.col("n") / F.greatest(F.col("total"), F.lit(1)))
+    shown = given.select("term", "kind", (F.log(p_given / F.col("p_kind")) / -F.log("p_kind")).alias("shown")).filter(F.col("shown") >= GENERALISE)
+    # the kind it discloses most, the first by name of several
+    most = shown.groupBy("term").agg(F.min(F.struct((-F.col("shown")).alias("less"), "kind")).alias("m")).select("term", "m.kind", (-F.col("m.less")).alias("shown")).toPandas()
+    discard(by_term)
+    discard(counts)
+    return {r.term: (r.kind, float(r.shown)) for r in most.itertuples()}
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -172,7 +170,7 @@ def sanitise(docs: DataFrame, with_text: bool = True) -> DataFrame:
     and, unless left out, the sanitised text.
 
     A null text is an empty one, without spans. Terms that never stand near an entity, or near fewer than SUPPORT
-    distinct ones, stay. Rows that repeat an id each have a result and count in the corpus; extra columns play no part;
+    distinct ones, stay; that number is the same for a corpus of any size. Rows that repeat an id each have a result and count in the corpus; extra columns play no part;
     an empty table gives no rows.
     """
     rows = select_present(docs, "doc_id", "text")

@@ -62,6 +62,22 @@ def test_revealing_terms_are_added_and_base_stays(spark):
     assert by_id[601].n_email == 1 and by_id[601].text == "mail me <email> now"
 
 
+def test_support_does_not_grow_with_the_corpus(spark, monkeypatch):
+    """A term by four entities of some hundreds tells as it does in a small corpus."""
+    from deltascape.llm import pii
+
+    monkeypatch.setattr(pii, "RARE", 16, raising=False)  # where support followed the corpus, as if this one were large
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04}")
+    few = [(i, f"plain words all around hotline +1 555 777 {1000 + i} and more plain words", "a") for i in range(4)]
+    many = [(10 + i, f"{letters(i)} plain words all around here +1 555 010 {1000 + i} and more plain words", "a") for i in range(200)]
+    plain = [(1000 + i, "here are plain words all around and more plain words " * 5, "a") for i in range(400)]
+    docs = documents(spark, [*few, *many, *plain])
+    terms = pii.revealing_terms(docs)
+    assert terms.keys() == {"hotline"} and terms["hotline"] == ("phone", 1.0)
+    got = {r.doc_id: r for r in sanitise(docs).collect()}
+    assert all("term:" in got[i].spans and "hotline" not in got[i].text for i in range(4))
+
+
 def test_without_entities(spark):
     got = sanitise(simple(spark, ["no data", None])).collect()
     assert [r.spans for r in got] == ["", ""]
