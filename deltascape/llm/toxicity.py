@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, is_training, materialise, select_present
-from .near_dedup import shingle_set
+from .near_dedup import ANCHORS, PART_DOCS, PART_SHINGLES, linked, shingle_set
 
 STEM = 5
 #: The telling words and stems that a shard of the model holds, about.
@@ -35,6 +36,8 @@ THRESHOLD = 0.7
 #: The whole evidence of a text counts up to this; a few words may have a high ratio by chance, not much evidence.
 MOST = 20.0
 WORD = re.compile(r"[^\W\d_]+")
+#: Words of a shingle, and the similarity in percent of their full sets, by which near copies are known.
+SHINGLE, NEAR = 3, 85
 #: Folds of the training rows that each model learns from: one for each fold left out, and the final one.
 FOLDS = {"a": (0,), "b": (1,), "ab": (0, 1)}
 
@@ -54,10 +57,44 @@ def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def least_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The least hash of each text's three-word shingles, on which near copies mostly agree; texts without words share one."""
+    """The rows with the least hash of each text's shingles, on which near copies mostly agree; of equal texts of a
+    batch and label that of the least id."""
     for frame in frames:
-        sets = [shingle_set(t, 3) for t in frame["text"]]
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "h": np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)})
+        frame = frame.assign(text=frame["text"].fillna("")).sort_values("doc_id").drop_duplicates(["text", "label"])
+        sets = [shingle_set(t, SHINGLE) for t in frame["text"]]
+        yield frame[["doc_id", "text", "label"]].assign(h=np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64))
+
+
+def drop_copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a partition sorted by h, label and part, without those whose full shingle set equals one before in the
+    part, or is NEAR to one of its first few. All others stay."""
+    key, first, anchors, seen = None, "", [], set()
+
+    def new(text: str) -> bool:
+        own = shingle_set(text, SHINGLE)
+        digest = xxhash.xxh3_128_digest(own.tobytes())
+        if digest in seen:
+            return False
+        seen.add(digest)
+        if not len(own):
+            return True
+        if any(linked(own, [a], NEAR)[0] for a in anchors if 100 * min(len(a), len(own)) >= NEAR * max(len(a), len(own))):
+            return False
+        if not anchors or len(anchors) < ANCHORS and sum(map(len, anchors)) + len(own) <= PART_SHINGLES:
+            anchors.append(own)
+        return True
+
+    for frame in frames:
+        keep = np.zeros(len(frame), bool)
+        for i, (*now, text) in enumerate(zip(frame["h"], frame["label"], frame["part"], frame["text"], strict=True)):
+            if now != key:
+                key, first, anchors, seen = now, text, [], set()
+                keep[i] = True
+                continue
+            if not seen:  # most have no other beside them, and need no set
+                new(first)
+            keep[i] = new(text)
+        yield frame.loc[keep, ["doc_id", "text", "label"]]
 
 
 class BackoffModel:
@@ -210,11 +247,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Sha
     own = select_present(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & is_training(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
     texts = select_present(docs, "doc_id", "text").filter(is_training(F.col("doc_id")))
-    # of copies and near copies one counts, or few: texts that share the least hash of their shingles; only ids and hashes move
+    # of copies and near copies with one label one counts, or few; what only shares the least hash counts in full
     key = docs.schema["doc_id"].dataType.simpleString()
-    once = texts.mapInPandas(least_shingles, f"doc_id {key}, h long").join(own, "doc_id").groupBy("h").agg(F.min_by("label", "doc_id").alias("label"), F.min("doc_id").alias("doc_id"))
+    hashed = materialise(texts.join(own.hint("merge"), "doc_id").mapInPandas(least_shingles, f"doc_id {key}, text string, label int, h long"), "hashed")
+    # hashes of many rows, a thousand at most, are dealt into parts, equal texts into one
+    most = max(PART_DOCS, hashed.count() // 1000)
+    hot = hashed.groupBy("h", "label").agg(F.ceil(F.count("*") / most).alias("parts")).filter("parts > 1")
+    dealt = hashed.join(F.broadcast(hot), ["h", "label"], "left").withColumn("t", F.xxhash64("text")).withColumn("part", F.pmod("t", F.coalesce("parts", F.lit(1))))
+    met = dealt.repartition("h", "label", "part").sortWithinPartitions("h", "label", "part", "doc_id", "t").select("doc_id", "text", "label", "h", "part")
     fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).cast("int")
-    rows = materialise(texts.join(once.select("doc_id", "label"), "doc_id").select("text", "label", fold.alias("fold")), "labelled")
+    rows = materialise(met.mapInPandas(drop_copies, f"doc_id {key}, text string, label int").select("text", "label", fold.alias("fold")), "labelled")
+    discard(hashed)
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
     counts = rows.mapInPandas(count_words, "item string, " + ", ".join(f"{n} long" for n in names))
     counts = materialise(counts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]), "items")
@@ -235,9 +278,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
 
     Only text is an input of a score. Empty and null texts, and texts without letters, have a ratio of 0. Without
     training rows of both classes all texts get the same score. Rows that repeat an id each have a score;
-    of training texts that share a least shingle one is learnt from, with the label of its smallest id, and an id that the label table
-    repeats has its largest label. An empty table gives
-    no rows.
+    of training texts of one label whose shingle sets are equal or nearly so one is learnt from, or few, and all others
+    are; an id that the label table repeats has its largest label. An empty table gives no rows.
     """
     model, curve = train(docs, labels, label)
     out = model.weigh(docs, "ab")

@@ -73,6 +73,34 @@ def test_toxicity_keeps_rare_telling_words_of_a_large_corpus(spark, monkeypatch)
     accuracy(toxicity(docs, labels))
 
 
+def passage():
+    """Three words whose hash is less than those of all texts around it, so that all have it as their least."""
+    from deltascape.llm.near_dedup import shingle_set
+
+    rng = random.Random(9)
+    return min((" ".join(rng.choice(WORDS) for _ in range(3)) for _ in range(20000)), key=lambda t: shingle_set(t, 3)[0])
+
+
+def test_toxicity_learns_from_all_texts_that_share_a_passage(spark):
+    shared = passage()
+    docs, labels = corpus(spark, lambda words, rng: " ".join([shared, *words, rng.choice(["zorn", "scum", "nast"])]))
+    accuracy(toxicity(docs, labels))
+
+
+def test_toxicity_drops_confirmed_copies_only():
+    from deltascape.llm.toxicity import drop_copies, least_shingles
+
+    shared = passage().split()
+    one, two = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    texts = [(1, [*shared, *one], 1), (2, [*shared, *one, "end"], 1), (3, [*shared, *one], 0), (4, [*shared, *two], 1), (5, [*shared, *one], 1), (6, [*shared, *two], 1)]
+    frame = pd.DataFrame([(i, " ".join(t), n) for i, t, n in texts], columns=["doc_id", "text", "label"])
+    met = pd.concat(least_shingles(iter([frame[:4], frame[4:]]))).assign(part=0)
+    assert met["h"].nunique() == 1
+    met = met.sort_values(["h", "label", "part", "doc_id"])
+    got = pd.concat(drop_copies(iter([met[:2], met[2:]])))
+    assert sorted(got["doc_id"]) == [1, 3, 4]
+
+
 @pytest.mark.parametrize("f", [classify, toxicity])
 def test_nothing_to_learn_from(spark, f):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
