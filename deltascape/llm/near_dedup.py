@@ -267,6 +267,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     repeat an id count by their texts, and each is kept if its id is the component's; null ids are never the smallest
     where there is another. Extra columns play no part; an empty table gives no rows.
     """
+    return _in_components(docs, shingle_words, percent).drop("component")
+
+
+def _in_components(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The rows of near_duplicates with component, a number of each component, also of those with a null or repeated id."""
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = select_present(docs, "doc_id", "text").withColumn("row_uid", F.monotonically_increasing_id())
     prints = materialise(
@@ -308,25 +313,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     # back to the rows
     known = reps.select("set_key", "doc_id", "copies", "node").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = components.join(reps.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("sets"))
-    alone = known.join(components.select("node"), "node", "left_anti").select("set_key", "copies", F.col("doc_id").alias("component_id"))
+    alone = known.join(components.select("node"), "node", "left_anti").select("set_key", "copies", F.col("root").alias("component"), F.col("doc_id").alias("component_id"))
     joint = known.join(components.select("node"), "node", "left_semi").select("set_key", "copies", "root")
-    joint = join_groups(joint, materialise(lowest, "lowest"), "root", "sets", max(components.count(), 1)).select("set_key", "copies", F.col("least_id").alias("component_id"))
+    joint = join_groups(joint, materialise(lowest, "lowest"), "root", "sets", max(components.count(), 1)).select("set_key", "copies", F.col("root").alias("component"), F.col("least_id").alias("component_id"))
     by_set = materialise(alone.unionByName(joint), "by_set")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     out = join_groups(full.select("doc_id", "n_shingles", "set_key", text_hash.alias("text_hash")), by_set, "set_key", "copies", max(prints.count(), 1)).drop("set_key", "copies")
-    out = out.unionByName(prints.filter("n_shingles = 0").select("doc_id", "n_shingles", text_hash.alias("text_hash"), F.col("doc_id").alias("component_id")))
+    out = out.unionByName(prints.filter("n_shingles = 0").select("doc_id", "n_shingles", text_hash.alias("text_hash"), F.col("row_uid").alias("component"), F.col("doc_id").alias("component_id")))
     for old in (buckets, members, candidates):
         discard(old)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay as they are.
+    Groups whose ids are null, or repeat, have one row each.
 
     The rows that stay are found again by id and text hash, in one shuffle of docs; of rows equal in both one stays.
     """
     key, nth = fresh(docs, "key", "nth")
-    own = near_duplicates(docs, shingle_words, percent).filter("kept").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
+    own = _in_components(docs, shingle_words, percent).filter("kept").groupBy("component").agg(F.min("component_id").alias("component_id"), F.min("text_hash").alias("text_hash"))
     stay = own.select(row_key(F.col("component_id"), F.col("text_hash")).alias(key))
     rows = docs.withColumn(key, row_key(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))))
     return numbered(rows, key, nth).filter(F.col(nth) == 1).join(stay, key, "left_semi").select(*docs.columns)

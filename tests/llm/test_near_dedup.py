@@ -101,6 +101,15 @@ def test_drop_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(want)
 
 
+def test_drop_keeps_different_texts_of_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{a}{i}" for i in range(40)) for a in "abcdef"]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[2], "a"), (None, texts[2] + " end", "a"), (7, texts[3], "a"), (7, texts[4], "a"), (7, texts[4], "a"), (8, texts[4] + " end", "a"), (7, "", "a"), (None, texts[5], "a"), (9, texts[5], "a")]
+    got = [(r.doc_id, r.text) for r in N.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert len(got) == 7
+    assert {(None, texts[0]), (None, texts[1]), (7, texts[3]), (7, texts[4]), (7, ""), (9, texts[5])} < set(got)
+    assert {(None, texts[2]), (None, texts[2] + " end")} & set(got)
+
+
 def test_hashing_is_that_of_words():
     assert (N.word_hashes("Ab  cd\n") == N.word_hashes("aB\tCD")).all()
     assert len(np.unique(N.word_hashes("a b ab ba é É"))) == 6
