@@ -1,7 +1,9 @@
 """License scans by ordered signature rules. DataFrame operations only.
 
 Each family of licenses has a keyword, a name pattern and a label; five forms of wording turn it into rules, some
-hundreds in all, in order of priority. A rule runs only on texts that hold its keyword. Where detections overlap, one
+hundreds in all, in order of priority. A rule runs only on texts that hold its keyword, whatever white space stands
+between the keyword's words. Names that are also those of programs and formats (php, ruby, json, ...) count only in texts
+that name the license so ("php license", "php licence"): this is part of their rules. Where detections overlap, one
 inside another of the same or a higher priority is dropped; what remains gives the labels and the score.
 """
 
@@ -26,22 +28,22 @@ FAMILIES = (
     ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:-[0-9.]+)?(?:-only|-or-later|\+)?"), ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e"), ("agpl", "agpl", r"(?:gnu )?agpl(?:-[0-9.]+)?(?:-only|-or-later|\+)?"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e"), ("gfdl", "gfdl", r"(?:gnu )?gfdl(?:-[0-9.]+)?"), ("apache", "apache", r"apache(?: software)?(?: licen[sc]e)?"),
     ("apache-2.0", "apache-2", r"apache-2(?:\.0)?"), ("mit", "mit", r"(?:the )?mit(?:/expat| \(expat\))?"), ("mit", "expat", r"expat"), ("x11", "x11", r"x11"), ("bsd", "bsd", r"(?:new |modified |revised |simplified |original )?bsd"),
-    ("bsd-2-clause", "bsd", r"(?:bsd[- ]2|2|two)[- ]clause(?: bsd)?"), ("bsd-3-clause", "bsd", r"(?:bsd[- ]3|3|three)[- ]clause(?: bsd)?"), ("bsd-4-clause", "bsd", r"(?:bsd[- ]4|4|four)[- ]clause(?: bsd)?"), ("0bsd", "0bsd", r"0bsd"),
+    ("bsd-2-clause", "clause", r"(?:bsd[- ]2|2|two)[- ]clause(?: bsd)?"), ("bsd-3-clause", "clause", r"(?:bsd[- ]3|3|three)[- ]clause(?: bsd)?"), ("bsd-4-clause", "clause", r"(?:bsd[- ]4|4|four)[- ]clause(?: bsd)?"), ("0bsd", "0bsd", r"0bsd"),
     ("isc", "isc", r"isc"), ("mpl", "mozilla", r"mozilla public licen[sc]e"), ("mpl", "mpl", r"mpl(?:-[0-9.]+)?"), ("epl", "eclipse", r"eclipse public licen[sc]e"), ("epl", "epl", r"epl(?:-[0-9.]+)?"),
     ("eclipse-distribution", "eclipse", r"eclipse distribution licen[sc]e"), ("cddl", "cddl", r"cddl(?:-[0-9.]+)?"), ("cddl", "development and distribution", r"common development and distribution licen[sc]e"),
     ("cpl", "common public", r"common public licen[sc]e"), ("ipl", "ibm public", r"ibm public licen[sc]e"), ("eupl", "eupl", r"eupl(?:-[0-9.]+)?"), ("eupl", "european union", r"european union public licen[sc]e"),
     ("artistic", "artistic", r"(?:the )?artistic"), ("perl", "same terms as perl", r"same terms as perl(?: itself)?"), ("zlib", "zlib", r"zlib(?:/libpng)?"), ("libpng", "libpng", r"libpng"), ("boost", "boost", r"boost(?: software)?(?: licen[sc]e)?"),
     ("boost", "bsl-1", r"bsl-1(?:\.0)?"), ("unlicense", "unlicense", r"(?:the )?unlicense"), ("wtfpl", "wtfpl", r"wtfpl"), ("wtfpl", "what the f", r"do what the f\S+ you want to public licen[sc]e"), ("psf", "python software", r"python software foundation"),
-    ("psf", "psf", r"psf(?:-[0-9.]+)?"), ("php", "php license", r"php"), ("ruby", "ruby license", r"ruby"), ("openssl", "openssl", r"openssl"), ("ofl", "open font", r"(?:sil )?open font licen[sc]e"), ("ofl", "ofl", r"(?:sil )?ofl(?:-[0-9.]+)?"),
+    ("psf", "psf", r"psf(?:-[0-9.]+)?"), ("php", "php licen", r"php"), ("ruby", "ruby licen", r"ruby"), ("openssl", "openssl", r"openssl"), ("ofl", "open font", r"(?:sil )?open font licen[sc]e"), ("ofl", "ofl", r"(?:sil )?ofl(?:-[0-9.]+)?"),
     ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa(?: open source)?"), ("ms-pl", "microsoft public", r"microsoft public licen[sc]e"), ("ms-pl", "ms-pl", r"ms-pl"), ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e"),
     ("afl", "academic free", r"academic free licen[sc]e"), ("osl", "open software", r"open software licen[sc]e"), ("upl", "universal permissive", r"universal permissive licen[sc]e"), ("blueoak", "blue oak", r"blue oak model"),
-    ("json", "json license", r"json"), ("beerware", "beerware", r"beerware"), ("busl", "business source", r"business source licen[sc]e"), ("sspl", "server side public", r"server side public licen[sc]e"), ("sspl", "sspl", r"sspl(?:-[0-9.]+)?"),
-    ("elastic", "elastic license", r"elastic"), ("odbl", "odbl", r"odbl(?:-[0-9.]+)?"), ("odbl", "open database", r"open database licen[sc]e"), ("odc-by", "odc", r"odc[- ]by"), ("pddl", "pddl", r"pddl"), ("openrail", "openrail", r"(?:creativeml )?openrail(?:-\+?m)?"),
+    ("json", "json licen", r"json"), ("beerware", "beerware", r"beerware"), ("busl", "business source", r"business source licen[sc]e"), ("sspl", "server side public", r"server side public licen[sc]e"), ("sspl", "sspl", r"sspl(?:-[0-9.]+)?"),
+    ("elastic", "elastic licen", r"elastic"), ("odbl", "odbl", r"odbl(?:-[0-9.]+)?"), ("odbl", "open database", r"open database licen[sc]e"), ("odc-by", "odc", r"odc[- ]by"), ("pddl", "pddl", r"pddl"), ("openrail", "openrail", r"(?:creativeml )?openrail(?:-\+?m)?"),
     ("cc0", "cc0", r"cc0(?:-[0-9.]+)?"), ("cc-by", "cc", r"cc[- ]by"), ("cc-by-sa", "cc", r"cc[- ]by[- ]sa"), ("cc-by-nd", "cc", r"cc[- ]by[- ]nd"), ("cc-by-nc", "cc", r"cc[- ]by[- ]nc"), ("cc-by-nc-sa", "cc", r"cc[- ]by[- ]nc[- ]sa"),
     ("cc-by-nc-nd", "cc", r"cc[- ]by[- ]nc[- ]nd"), ("cc-by", "creative commons", r"creative commons attribution"), ("cc-by-sa", "creative commons", r"creative commons attribution[- ]share[- ]?alike"),
     ("cc-by-nc", "creative commons", r"creative commons attribution[- ]non-?commercial"), ("cc-by-nc-sa", "creative commons", r"creative commons attribution[- ]non-?commercial[- ]share[- ]?alike"),
     ("cc-by-nd", "creative commons", r"creative commons attribution[- ]no[- ]?deriv(?:ative)?s"), ("cc0", "creative commons", r"creative commons zero"), ("cecill", "cecill", r"cecill(?:-[abc])?"), ("qpl", "q public", r"q public licen[sc]e"),
-    ("unicode", "unicode license", r"unicode"), ("vim", "vim license", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("zpl", "zope", r"zope public licen[sc]e"), ("intel", "intel open source", r"intel open source"), ("curl", "curl license", r"curl"),
+    ("unicode", "unicode licen", r"unicode"), ("vim", "vim licen", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("zpl", "zope", r"zope public licen[sc]e"), ("intel", "intel open source", r"intel open source"), ("curl", "curl licen", r"curl"),
     ("open-government", "open government", r"open government licen[sc]e"),
 )
 #: Pattern around a name, its own keyword, priority: a tag, a grant, a version, and the word license behind the name.
@@ -62,7 +64,7 @@ SINGLE = (
     ("cc0", "cc0", r"cc0", 1), ("mpl", "mozilla", r"mozilla public licen[sc]e", 1), ("copyleft", "copyleft", r"copyleft", 1),
 )
 #: A text without any of these has no detection: the forms' keywords, and those of the whole patterns.
-GATE = tuple(sorted({own for _, own, _ in FORMS} | {keyword for _, keyword, *_ in SINGLE} - {"cc"} | {"cc by", "cc-by", "cc\nby"}))
+GATE = tuple(sorted({own for _, own, _ in FORMS} | {keyword for _, keyword, *_ in SINGLE} - {"cc"} | {"cc by", "cc-by"}))
 PRIORITIES = 5
 
 
@@ -81,6 +83,11 @@ def phrase_pattern(phrase: str) -> str:
     return rf"(?<!{W}){f'{NOT_W}+'.join(phrase.split())}(?!{W})"
 
 
+def folded(text: Column) -> Column:
+    """text in lower case with each run of what the patterns take for white space as one space, to seek keywords in."""
+    return F.regexp_replace(F.lower(text), r"[\s\x01\x02]{2,}|[\t\n\x0B\f\r\x01\x02]", " ")
+
+
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"{W}+")), F.lit(0)).cast("long")
 
@@ -97,7 +104,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text, small = F.coalesce(F.col("text"), F.lit("")), F.col("small")
     has = lambda k: F.contains(small, F.lit(k))
-    rows = select_present(docs, "doc_id", "text").withColumn("row_uid", F.monotonically_increasing_id()).withColumn("small", F.lower(text))
+    rows = select_present(docs, "doc_id", "text").withColumn("row_uid", F.monotonically_increasing_id()).withColumn("small", folded(text))
     rows = rows.withColumn("gated", reduce(or_, [has(k) for k in GATE]))
     any_phrase = "(?:" + "|".join(phrase_pattern(p) for p, _ in PHRASES) + ")"
     # a phrase is sought where its rarest word stands
@@ -115,7 +122,7 @@ def scan(docs: DataFrame) -> DataFrame:
     table = rules(spark)
     keywords = sorted({keyword for _, keyword, *_ in FAMILIES} | {keyword for _, keyword, *_ in SINGLE})
     held = F.array_compact(F.array(*[F.when(has(k), F.lit(k)) for k in keywords]))
-    gated = rows.filter(F.col("text").isNotNull()).select("row_uid", "text", F.lower("text").alias("small")).select("row_uid", "text", "small", F.explode(held).alias("keyword"))
+    gated = rows.filter(F.col("text").isNotNull()).select("row_uid", "text", folded(F.col("text")).alias("small")).select("row_uid", "text", "small", F.explode(held).alias("keyword"))
     tried = gated.join(F.broadcast(table), (gated["keyword"] == table["keyword"]) & F.contains(gated["small"], table["own"]))
     # each detection between two marks; the lengths of the pieces give its place
     marked = F.regexp_replace(F.col("text"), F.col("pattern"), F.lit("\u0001$0\u0002"))

@@ -45,6 +45,16 @@ def test_labels_of_the_method(spark):
         assert set(filter(None, got[i].split(","))) & set(labels.split(",")) or got[i] == labels, (t, got[i])
 
 
+def test_keywords_across_any_white_space(spark):
+    want = {
+        "GNU Lesser\nGeneral Public License": "lgpl", "Creative\nCommons Attribution license": "cc-by", "all rights\nreserved": "all-rights-reserved", "the public\n  domain": "public-domain", "without\nwarranty of any kind": "no-warranty",
+        "CC\nBY-NC": "cc-by-nc", "mozilla  public\tlicense": "mpl", "public\u0001domain": "public-domain", "the PHP licence": "php", "a 2-clause license": "bsd-2-clause",
+    }
+    got = {r.doc_id: r.labels for r in scan(simple(spark, list(want))).collect()}
+    for i, (t, label) in enumerate(want.items()):
+        assert label in got[i].split(","), (t, got[i])
+
+
 def test_contained_detections_go(spark):
     r = scan(simple(spark, ["It is licensed under the Apache License, Version 2.0."])).first()
     spans = [(f.start, f.end) for f in r.found]
