@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fresh, is_training, select_present, splitmix
 
 #: The most labelled rows that the fit reads, chosen by hash of the id.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 4000
 #: Buckets of each kind of feature; vector length; passes; first step size.
 BUCKET_BITS, DIM, EPOCHS, STEP = 16, 8, 6, 0.5
 NGRAMS = (3, 5)

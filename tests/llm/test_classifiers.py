@@ -121,3 +121,9 @@ def test_features_add_up_over_parts(monkeypatch):
     assert len(parts) > 5
     words = quality._words(pd.Series([ord(c) for c in "ab"]).to_numpy("uint32"), pd.Series([False, False]).to_numpy())
     assert (words >> 48) in whole[0]
+
+
+def test_quality_learns_from_as_many_rows_as_it_says():
+    from deltascape.llm import quality
+
+    assert quality.SAMPLE_ROWS >= 4000  # halved once, along with a repair of memory that did not need it
