@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks of text, each under a root-to-leaf path of block elements. Every path gets two ratios: text
-length and punctuation marks by node. They are smoothed along the page's nodes, fused, and weighted by what the path
-says of itself (an article's path weighs more, a path of links less, a menu's, form's or advert's nothing); paths over
-the threshold, which is set by the spread of the page's own values, hold the content.
+length by node and punctuation marks by node. They are smoothed along the page's nodes and fused, on a logarithmic
+scale. What elements say of themselves enters as bounded factors: an article's paths weigh more, a menu's, form's or
+advert's less, and a path of links by the share of its text that is none. Paths whose value is over the threshold, set
+by the spread of the page's own values, hold the content; so a path of an article without text to speak of goes, and
+one outside with much text stays.
 """
 
 from __future__ import annotations
@@ -53,9 +55,10 @@ class Node:
 class Run:
     """Text of one block and where it stands."""
 
-    __slots__ = ("apart", "article", "linked", "parts", "path", "text")
+    __slots__ = ("apart", "article", "heading", "linked", "parts", "path", "text")
 
     def __init__(self, node: Node):
+        self.heading = node.tag in HEADINGS
         self.path, self.apart, self.article, self.parts, self.linked, self.text = node.path, node.apart, node.article, [], 0, ""
 
 
@@ -148,8 +151,38 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
-#: A path's value must exceed this share of the deviation of the page's values; text under an article weighs the more.
-SPREAD, ARTICLE_WEIGHT, LINK_SHARE = 0.5, 1e6, 0.5
+#: Factors of a path: under an article, outside one where the page has one, set apart by name, and the least of a path of links.
+IN_ARTICLE, OUTSIDE, SET_APART, ALL_LINKS = 2.0, 0.5, 1 / 12, 0.1
+#: A path's value must reach this share of the deviation of the page's values, but no more than MOST_BOUND and no less than LEAST_BOUND.
+SPREAD, LEAST_BOUND, MOST_BOUND = 0.5, 1.5, 8.0
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def path_ratios(runs: list[Run]) -> np.ndarray:
+    """Of each block, the fused ratios of its path: length and punctuation by node, smoothed along the page."""
+    sums: dict[tuple[int, bool], np.ndarray] = {}
+    for r in runs:
+        key = (r.path, r.apart)
+        sums[key] = sums.get(key, 0.0) + np.array([len(r.text), len(PUNCTUATION.findall(r.text)), 1.0])
+    means = np.array([sums[r.path, r.apart] for r in runs])
+    length, marks = smooth(np.log2(1 + means[:, 0] / means[:, 2])), smooth(np.log2(1 + means[:, 1] / means[:, 2]))
+    return length * (1 + marks)
+
+
+def path_factors(runs: list[Run]) -> np.ndarray:
+    """Of each block, what its path's elements and links say, as a factor of its ratios."""
+    text: dict[tuple[int, bool], int] = {}
+    linked: dict[tuple[int, bool], int] = {}
+    for r in runs:
+        key = (r.path, r.apart)
+        text[key] = text.get(key, 0) + len(r.text)
+        linked[key] = linked.get(key, 0) + min(r.linked, len(r.text))
+    some = any(r.article and not r.apart for r in runs)
+    out = []
+    for r in runs:
+        place = SET_APART if r.apart else IN_ARTICLE if r.article else OUTSIDE if some else 1.0
+        out.append(place * max(ALL_LINKS, 1.0 - linked[r.path, r.apart] / text[r.path, r.apart]))
+    return np.array(out)
 
 
 def main_text(page: str | None) -> str:
@@ -157,26 +190,19 @@ def main_text(page: str | None) -> str:
     runs = blocks(page or "")
     if not runs:
         return ""
-    sums: dict[int, np.ndarray] = {}
-    for r in runs:
-        sums.setdefault(r.path, np.zeros(4))
-        sums[r.path] += (len(r.text), len(PUNCTUATION.findall(r.text)), 1, min(r.linked, len(r.text)))
-    length = smooth(np.array([sums[r.path][0] / sums[r.path][2] for r in runs]))
-    marks = smooth(np.array([sums[r.path][1] / sums[r.path][2] for r in runs]))
-    fused = np.sqrt(length * (1 + marks))
-    in_article = any(r.article and not r.apart for r in runs)
-    weights = []
-    for r in runs:
-        linked = sums[r.path][3] > LINK_SHARE * sums[r.path][0]
-        weights.append(0.0 if r.apart or in_article and not r.article else (0.2 if linked and not r.article else 1.0) * (ARTICLE_WEIGHT if r.article else 1.0))
-    value = fused * np.array(weights)
+    value = path_ratios(runs) * path_factors(runs)
+    # a heading has the highest value of the text that it heads, up to the next heading, where that is more
+    below, place = 0.0, None
+    for i, r in reversed(list(enumerate(runs))):
+        if (r.apart, r.article) != place:
+            below, place = 0.0, (r.apart, r.article)
+        value[i] = max(value[i], below) if r.heading else value[i]
+        below = value[i] if r.heading else max(below, value[i])
     by_path: dict[tuple[int, bool], list[float]] = {}
     for r, v in zip(runs, value, strict=True):
         by_path.setdefault((r.path, r.apart), []).append(v)
-    # the article's weight lifts its paths over any spread of theirs; elsewhere the spread decides
-    spread = np.std(fused[np.array(weights) > 0]) if any(weights) else 0.0
-    bound = min(SPREAD * spread, float(fused.max()))
-    kept = {p for p, v in by_path.items() if np.mean(v) > 0 and np.mean(v) >= bound}
+    bound = min(MOST_BOUND, max(LEAST_BOUND, SPREAD * float(np.std(value))))
+    kept = {p for p, v in by_path.items() if np.mean(v) >= bound}
     return "\n\n".join(r.text for r in runs if (r.path, r.apart) in kept)
 
 
