@@ -133,7 +133,7 @@ def sampled_labels(labels: DataFrame, label: str, rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Fits on at most `rows` labelled documents whose ids are for training."""
+    """Fits on at most `rows` labelled documents whose ids are for training; an id that rows repeat has its least text."""
     sample = F.broadcast(sampled_labels(labels, label, rows))
 
     def bag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,13 +142,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "ids": [a.tobytes() for a, _ in both], "counts": [b.tobytes() for _, b in both]})
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        got = frame.drop_duplicates("doc_id").sort_values("doc_id")
+        got = frame.sort_values("doc_id")
         bags = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(got["ids"], got["counts"], strict=True)]
         weights, offset = fit(bags, got["label"].to_numpy(int))
         return pd.DataFrame({"weights": [weights.tobytes()], "offset": [offset]})
 
     # the sample is bounded, so one task holds it; the driver gets the folded model alone
-    bags = select_present(docs, "doc_id", "text").join(sample, "doc_id").mapInPandas(bag, "doc_id long, label int, ids binary, counts binary")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    texts = select_present(docs, "doc_id", "text").join(sample, "doc_id")
+    # of rows that repeat an id the one with the least text counts, whatever order they come in
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    bags = texts.mapInPandas(bag, f"doc_id {key}, label int, ids binary, counts binary")
     model = bags.groupBy(F.lit(1).alias("all")).applyInPandas(learn, "weights binary, offset double").first()
     if model is None:
         return fit([], np.zeros(0, int))
@@ -156,19 +160,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, names: tuple[str, str] = ("_score", "_predicted")) -> DataFrame:
-    """docs' columns and, of every row, the probability of label 1 and the prediction, in columns of the given names.
+    """docs' columns and, of every row, the probability of label 1 and the prediction, in columns of the given names;
+    where docs has such columns, underscores are added (see fresh).
 
     Only text is an input of a score. Null and empty texts get the offset's score; without training rows of both
     classes all texts get one score. Rows that repeat an id each have a score. An empty table gives no rows.
     """
     weights, offset = train(docs, labels, label, rows)
+    score, predicted = fresh(docs, *names)
     model = docs.sparkSession.sparkContext.broadcast((weights, offset))
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(score_texts(texts, *model.value))
 
-    return docs.withColumn(names[0], F.pandas_udf(scored, "double")("text")).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
+    return docs.withColumn(score, F.pandas_udf(scored, "double")("text")).withColumn(predicted, (F.col(score) >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -1,15 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary text, are estimated from all labelled training rows. A word's count in a
-class is the number of distinct texts that it continues there, so a word that one text repeats counts once. Its
-probability in the class is the discounted count; the discounted mass goes to continuation counts that both classes
-share: each word of the corpus continues its stem (its first letters) once. A word whose counts do not differ between
-the classes beyond chance takes the shared estimate from both, as does a stem; a rare form of a telling stem so still
-tells. A text's score compares its two log-likelihoods per word, and weighs the whole evidence, through a logistic curve fitted
-on rows that the scoring models have not seen.
-
-All words and stems are weighed, however rare in a large corpus, by Spark; those that tell make the model. It ships to
-the workers in shards by stem, of a bounded number of items, and texts pass once for each shard; mostly there is one.
+Two bigram models, one of toxic and one of ordinary text, are estimated from all labelled training rows, copies aside.
+A count is the number of distinct texts with a word, or with a word behind its history, so what one text repeats counts
+once. In a class, the chance of a word behind a history is the discounted count of the pair over that of the history;
+the discounted mass goes to the word's own discounted count in the class; and what is discounted there goes to
+continuation counts that both classes share: the share of all distinct pairs that end in the word. So rare expressions
+are smoothed alike in both classes. A word, or pair, whose counts do not differ between the classes beyond chance takes
+the estimate of the level behind from both.
+
+A text's score compares its two log-likelihoods, normalised by its length: the mean log ratio of its words, each behind
+the word before it. A logistic curve over that mean, fitted on rows that the scoring models have not seen, gives 0 to 1.
+
+All words and pairs are weighed, however rare in a large corpus, by Spark; those that tell make the model. It ships to
+the workers in shards by word, of a bounded number of items, and texts pass once for each shard; mostly there is one.
 """
 
 from __future__ import annotations
@@ -24,36 +27,55 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, is_training, materialise, select_present
+from .common import discard, fresh, is_training, materialise, select_present
 from .near_dedup import ANCHORS, PART_DOCS, PART_SHINGLES, linked, shingle_set
 
-STEM = 5
-#: The telling words and stems that a shard of the model holds, about.
-MODEL_WORDS = 1 << 18
+#: The telling words and pairs that a shard of the model holds, about.
+MODEL_ITEMS = 1 << 18
 #: The least G-squared statistic of a difference between classes that counts as more than chance (p below 0.0002).
 BEYOND_CHANCE = 14.0
 THRESHOLD = 0.7
-#: The whole evidence of a text counts up to this; a few words may have a high ratio by chance, not much evidence.
-MOST = 20.0
+#: The mean log ratio from which the curve's scale is logarithmic rather than straight.
+NEAR_ZERO = 0.01
 WORD = re.compile(r"[^\W\d_]+")
 #: Words of a shingle, and the similarity in percent of their full sets, by which near copies are known.
 SHINGLE, NEAR = 3, 85
 #: Folds of the training rows that each model learns from: one for each fold left out, and the final one.
 FOLDS = {"a": (0,), "b": (1,), "ab": (0, 1)}
+#: Counted items that a worker holds before it passes them on.
+HELD_ITEMS = 200_000
 
 
-def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts that hold each word, and each stem of a longer word, by class and fold; by batch of a partition."""
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def pairs_of(words: list[str]) -> list[str]:
+    """Each word behind the one before it; the first one's history is empty."""
+    return [f"{v} {w}" for v, w in zip(["", *words], words)]  # noqa: B905
+
+
+def count_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts that hold each word and each pair, by class and fold; the empty item counts the texts themselves."""
+    names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
+
+    def passed(found: dict[str, Counter]) -> pd.DataFrame:
+        items = list(set().union(*found.values()))
+        return pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
+
+    found: dict[str, Counter] = {n: Counter() for n in names}
     for frame in frames:
-        found: dict[str, Counter] = {f"n{c}{f}": Counter() for c in (0, 1) for f in (0, 1)}
         for text, label, fold in zip(frame["text"], frame["label"], frame["fold"], strict=True):
-            words = set(WORD.findall((text or "").lower()))
+            words = words_of(text)
             own = found[f"n{label}{fold}"]
-            own.update(words)
-            own[""] += 1  # the texts themselves
-            own.update({w[:STEM] + "*" for w in words if len(w) > STEM})
-        items = list(set().union(*found.values()))
-        yield pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
+            own.update(set(words))
+            own.update(set(pairs_of(words)))
+            own[""] += 1
+            if sum(map(len, found.values())) > HELD_ITEMS:
+                yield passed(found)
+                found = {n: Counter() for n in names}
+    if any(found.values()):
+        yield passed(found)
 
 
 def least_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,59 +120,60 @@ def drop_copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class BackoffModel:
-    """Log ratios of the words and stems that tell the classes apart; all else has ratio 0."""
+    """Log ratios of the words, and of the pairs, that tell the classes apart; a pair backs off to its word, else to 0."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
+    def __init__(self, words: dict[str, float], pairs: dict[str, float]):
+        self.words, self.pairs = words, pairs
+        self.ends = {p.rpartition(" ")[2] for p in pairs}
+        self.known = self.ends | words.keys()
 
     def evidence(self, texts: pd.Series) -> pd.DataFrame:
         """Per text the log-likelihood ratio, toxic over ordinary, and the number of words."""
-        words, stems, out = self.words.get, self.stems.get, np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), 2))
         for i, text in enumerate(texts):
-            found = set(WORD.findall((text or "").lower()))  # as in training, a word counts once a text
+            words = words_of(text)
             total = 0.0
-            for w in found:
-                r = words(w)
-                if r is None:
-                    r = stems(w[:STEM])
-                    if r is None:
-                        continue
-                total += r
-            out[i] = total, len(found)
+            if not self.known.isdisjoint(words):
+                for at, w in enumerate(words):
+                    if w in self.known:
+                        r = self.pairs.get(f"{words[at - 1] if at else ''} {w}") if w in self.ends else None
+                        total += self.words.get(w, 0.0) if r is None else r
+            out[i] = total, len(words)
         return pd.DataFrame(out, columns=["total", "words"])
 
 
 class ShardedModel:
-    """The telling items of each model: a table (is_stem, item and a ratio, or null, for each), and how many shards it takes.
+    """The telling items of each model: a table (item and a ratio, or null, for each), and how many shards it takes.
 
-    A word and its stem are in one shard, so that a text's evidence is the sum of what the shards give.
+    A word and the pairs that end in it are in one shard, so that a text's evidence is the sum of what the shards give.
     """
 
     def __init__(self, items: DataFrame):
         self.items = items
-        self.shards = max(1, -(-items.count() // MODEL_WORDS))
+        self.shards = max(1, -(-items.count() // MODEL_ITEMS))
 
     def shard(self, m: str, n: int) -> BackoffModel:
-        own = self.items.filter(F.col(m).isNotNull() & (F.pmod(F.xxhash64(F.substring("item", 1, STEM)), F.lit(self.shards)) == n))
-        found = own.select("is_stem", "item", m).toPandas()
-        return BackoffModel(*[dict(zip(part["item"], part[m].tolist(), strict=True)) for part in (found[~found["is_stem"]], found[found["is_stem"]])])
-
-    def weigh(self, df: DataFrame, m: str) -> DataFrame:
-        """df, which has a text, with _evidence: the ratio by word, and in all up to MOST; 0 without words."""
+        end = F.substring_index("item", " ", -1)
+        own = self.items.filter(F.col(m).isNotNull() & (F.pmod(F.xxhash64(end), F.lit(self.shards)) == n)).select("item", m).toPandas()
+        paired = own["item"].str.contains(" ").astype(bool)
+        return BackoffModel(*[dict(zip(part["item"], part[m].tolist(), strict=True)) for part in (own[~paired], own[paired])])
+
+    def weigh(self, df: DataFrame, m: str, name: str) -> DataFrame:
+        """df, which has a text, with the mean log ratio of its words in column name; 0 without words."""
+        ratio, part = fresh(df, name, "part")
         held = None
         for n in range(self.shards):
             own = evidence_udf(df.sparkSession, self.shard(m, n))("text")
             if n == 0:
-                df = df.withColumn("_evidence", own)
+                df = df.withColumn(ratio, own)
                 continue
             # a worker holds one shard at a time
             last, held = held, materialise(df, "evidence")
             if last is not None:
                 discard(last)
-            df = held.withColumn("_shard", own)
-            df = df.withColumn("_evidence", F.struct((F.col("_evidence.total") + F.col("_shard.total")).alias("total"), F.col("_evidence.words").alias("words"))).drop("_shard")
-        total, words = F.col("_evidence.total"), F.col("_evidence.words")
-        return df.withColumn("_evidence", F.struct((total / F.greatest(words, F.lit(1.0))).alias("ratio"), F.greatest(F.lit(-MOST), F.least(F.lit(MOST), total)).alias("total")))
+            df = held.withColumn(part, own)
+            df = df.withColumn(ratio, F.struct((F.col(f"{ratio}.total") + F.col(f"{part}.total")).alias("total"), F.col(f"{ratio}.words").alias("words"))).drop(part)
+        return df.withColumn(ratio, F.col(f"{ratio}.total") / F.greatest(F.col(f"{ratio}.words"), F.lit(1.0)))
 
 
 def discount(n1: float, n2: float) -> float:
@@ -158,75 +181,88 @@ def discount(n1: float, n2: float) -> float:
     return float(n1 / (n1 + 2 * n2)) if n1 and n2 else 0.75
 
 
-def g_squared(a: Column, all_a: float, b: Column, all_b: float) -> Column:
-    """The likelihood-ratio statistic of counts a of all_a against b of all_b."""
-    n, whole = F.greatest(a + b, F.lit(1.0)), all_a + all_b
-    part = lambda x, all_x: F.when(x > 0, x * F.log(x / (n * F.lit(all_x / whole)))).otherwise(0.0)
-    return F.lit(2.0) * (part(a, all_a) + part(b, all_b))
+def beyond_chance(m: str, texts: dict[int, float]) -> Column:
+    """Whether an item's counts m0 and m1 differ between the classes' texts by the likelihood-ratio statistic."""
+    if not texts[0] or not texts[1]:
+        return F.lit(False)
+    both, whole = F.greatest(F.col(f"{m}0") + F.col(f"{m}1"), F.lit(1)), texts[0] + texts[1]
 
+    def part(c: int) -> Column:
+        n = F.col(f"{m}{c}").cast("double")
+        return F.when(n > 0, n * F.log(n / (both * F.lit(texts[c] / whole)))).otherwise(0.0)
 
-def telling(sums: dict, shared: Column, texts: dict[int, float], m: str) -> Column:
-    """The log ratio of an item of one level, null unless its counts differ beyond chance between the classes' texts.
-    shared: its shared estimate."""
-    if not texts[0] or not texts[1]:
-        return F.lit(None).cast("double")
-    counts, p = {}, {}
-    for c in (0, 1):
-        counts[c], total = F.col(f"{m}{c}").cast("double"), float(sums[f"N_{m}{c}"] or 0)
-        d = discount(sums[f"one_{m}{c}"], sums[f"two_{m}{c}"])
-        p[c] = F.greatest(counts[c] - d, F.lit(0.0)) / total + shared * (d * sums[f"types_{m}{c}"] / total) if total else shared
-    return F.when(g_squared(counts[1], texts[1], counts[0], texts[0]) > BEYOND_CHANCE, F.log(p[1] / p[0]))
+    return F.lit(2.0) * (part(0) + part(1)) > BEYOND_CHANCE
 
 
 def build_models(counts: DataFrame) -> ShardedModel:
-    """The models from the counts by item (columns n<class><fold>): sums over all items, then every telling item."""
+    """The models from the counts by item (columns n<class><fold>), as columns of Spark: every telling word and pair."""
     add = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
     named = [add([f"n{c}{f}" for f in folds]).alias(f"{m}{c}") for m, folds in FOLDS.items() for c in (0, 1)]
-    is_stem = F.col("item").endswith("*")
     items = counts.select("item", *named)
     whole = items.filter("item = ''").first()
-    words, stems = items.filter(~is_stem & (F.col("item") != "")), items.filter(is_stem).withColumn("item", F.substring("item", 1, STEM))
+    texts = {m: {c: float(whole[f"{m}{c}"]) if whole else 0.0 for c in (0, 1)} for m in FOLDS}
+    words = items.filter("item <> ''").filter(~F.contains("item", F.lit(" ")))
+    pairs = items.filter(F.contains("item", F.lit(" "))).withColumn("history", F.substring_index("item", " ", 1)).withColumn("word", F.substring_index("item", " ", -1))
     known = {m: F.col(f"{m}0") + F.col(f"{m}1") > 0 for m in FOLDS}
-    forms = words.filter(F.length("item") > STEM).groupBy(F.substring("item", 1, STEM).alias("item")).agg(*[F.count_if(known[m]).alias(f"{m}s") for m in FOLDS])
-    stems = stems.join(forms, "item")
-    sums: list[Column] = []
+    each = [(m, c) for m in FOLDS for c in (0, 1)]
+    sums: list[Column] = [F.count_if(known[m]).alias(f"types_{m}") for m in FOLDS]
+    for m, c in each:
+        n = F.col(f"{m}{c}")
+        sums += [F.sum(n).alias(f"N_{m}{c}"), F.count_if(n == 1).alias(f"one_{m}{c}"), F.count_if(n == 2).alias(f"two_{m}{c}"), F.count_if(n > 0).alias(f"types_{m}{c}")]
+    of_words, of_pairs = (x.agg(*sums).first().asDict() for x in (words, pairs))
+    cut = {(kind, m, c): discount(of[f"one_{m}{c}"], of[f"two_{m}{c}"]) for kind, of in (("word", of_words), ("pair", of_pairs)) for m, c in each}
+
+    # words: the shared continuation share behind the class's discounted count
+    ends = pairs.groupBy(F.col("word").alias("item")).agg(*[F.count_if(known[m]).alias(f"ends_{m}") for m in FOLDS])
+    chances = words.join(ends, "item")
     for m in FOLDS:
-        sums.append(F.count_if(known[m]).alias(f"types_{m}"))
+        shared = F.greatest(F.col(f"ends_{m}"), F.lit(1)) / F.lit(float(max(of_pairs[f"types_{m}"], 1)))
+        tells = beyond_chance(m, texts[m])
         for c in (0, 1):
-            n = F.col(f"{m}{c}")
-            sums += [F.sum(n).alias(f"N_{m}{c}"), F.count_if(n == 1).alias(f"one_{m}{c}"), F.count_if(n == 2).alias(f"two_{m}{c}"), F.count_if(n > 0).alias(f"types_{m}{c}")]
-    of_words, of_stems = (x.agg(*sums).first().asDict() for x in (words, stems))
-    own_words, own_stems = [], []
+            total, d = float(of_words[f"N_{m}{c}"] or 0), cut["word", m, c]
+            p = F.greatest(F.col(f"{m}{c}") - F.lit(d), F.lit(0.0)) / total + shared * (d * of_words[f"types_{m}{c}"] / total) if total else shared
+            chances = chances.withColumn(f"p_{m}{c}", F.when(tells, p).otherwise(shared))
+        chances = chances.withColumn(f"tells_{m}", tells)
+    chances = materialise(chances.select("item", *[f"tells_{m}" for m in FOLDS], *[f"p_{m}{c}" for m, c in each]), "chances")
+    own_words = chances.select("item", *[F.when(F.col(f"tells_{m}"), F.log(F.col(f"p_{m}1") / F.col(f"p_{m}0"))).alias(m) for m in FOLDS])
+
+    # pairs that tell: the class's discounted share behind their history, and the word's chance behind that
+    histories = pairs.groupBy("history").agg(*[f(F.col(f"{m}{c}")).alias(f"{k}_{m}{c}") for m, c in each for k, f in (("sum", F.sum), ("kinds", lambda n: F.count_if(n > 0)))])
+    telling = pairs
     for m in FOLDS:
-        types = float(max(of_words[f"types_{m}"], 1))
-        texts = {c: float(whole[f"{m}{c}"]) if whole else 0.0 for c in (0, 1)}
-        own_words.append(telling(of_words, F.lit(1.0 / types), texts, m).alias(m))
-        own_stems.append(telling(of_stems, F.greatest(F.col(f"{m}s").cast("double"), F.lit(1.0)) / types, texts, m).alias(m))
-    found = words.select(F.lit(False).alias("is_stem"), "item", *own_words).unionByName(stems.select(F.lit(True).alias("is_stem"), "item", *own_stems))
-    return ShardedModel(materialise(found.filter(F.coalesce(*FOLDS).isNotNull()), "telling"))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Slopes of the columns of x, and the offset, of the curve through weighted points, by Newton steps with a slight
-    pull to 0."""
-    out = np.zeros(x.shape[1] + 1)
+        telling = telling.withColumn(f"tells_{m}", beyond_chance(m, texts[m]))
+    telling = materialise(telling.filter(" OR ".join(f"tells_{m}" for m in FOLDS)), "pairs")
+    # both sides of these joins have a row per key but the few pairs that tell
+    telling = telling.join(histories, "history").join(chances.select(F.col("item").alias("word"), *[f"p_{m}{c}" for m, c in each]), "word")
+
+    def behind(m: str, c: int) -> Column:
+        of, d = F.col(f"sum_{m}{c}"), F.lit(cut["pair", m, c])
+        own = (F.greatest(F.col(f"{m}{c}") - d, F.lit(0.0)) + d * F.col(f"kinds_{m}{c}") * F.col(f"p_{m}{c}")) / of
+        return F.when(of > 0, own).otherwise(F.col(f"p_{m}{c}"))
+
+    own_pairs = telling.select("item", *[F.when(F.col(f"tells_{m}"), F.log(behind(m, 1) / behind(m, 0))).alias(m) for m in FOLDS])
+    return ShardedModel(materialise(own_words.unionByName(own_pairs).filter(F.coalesce(*FOLDS).isNotNull()), "telling"))
+
+
+def scaled(ratio: Column) -> Column:
+    """The mean log ratio on the curve's scale: straight near 0, logarithmic beyond; its order is the ratio's."""
+    return F.asinh(ratio / NEAR_ZERO)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the curve through weighted points, by Newton steps with a slight pull of the slope to 0."""
     ones = float((weight * y).sum())
     if not len(y) or not 0 < ones < weight.sum():
-        out[-1] = 0.0 if not len(y) else float(6 * y[0] - 3)
-        return out
-    mean = np.average(x, axis=0, weights=weight)
-    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight))
-    scale[scale == 0] = 1.0
-    a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    pull = np.array([0.05] * x.shape[1] + [1e-9])
-    for _ in range(100):
+        return 0.0, 0.0 if not len(y) else float(6 * y[0] - 3)
+    a, out = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
+    pull = np.array([0.01, 1e-9])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a @ out, -30, 30)))
         step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (weight * (p - y)) + pull * out)
-        out -= np.clip(step, -2, 2)
+        out -= np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
-    slopes = out[:-1] / scale
-    return np.append(slopes, out[-1] - slopes @ mean)
+    return float(out[0]), float(out[1])
 
 
 def evidence_udf(spark: SparkSession, model: BackoffModel):
@@ -239,8 +275,8 @@ def evidence_udf(spark: SparkSession, model: BackoffModel):
     return F.pandas_udf(weigh, "total double, words double")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[ShardedModel, np.ndarray]:
-    """The model, and slopes and offset of the curve, from all labelled training rows.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[ShardedModel, tuple[float, float]]:
+    """The model, and slope and offset of the curve, from all labelled training rows.
 
     Both folds of the training rows score one another for the curve, whose points come as a histogram.
     """
@@ -259,31 +295,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Sha
     rows = materialise(met.mapInPandas(drop_copies, f"doc_id {key}, text string, label int").select("text", "label", fold.alias("fold")), "labelled")
     discard(hashed)
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
-    counts = rows.mapInPandas(count_words, "item string, " + ", ".join(f"{n} long" for n in names))
+    counts = rows.mapInPandas(count_items, "item string, " + ", ".join(f"{n} long" for n in names))
     counts = materialise(counts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]), "items")
     model = build_models(counts)
     points = []
     for f, unseen in ((0, "b"), (1, "a")):
-        seen = model.weigh(rows.filter(F.col("fold") == f).select("label", "text"), unseen)
-        points.append(seen.groupBy("label", F.round("_evidence.ratio", 3).alias("ratio"), F.round("_evidence.total", 0).alias("total")).count().toPandas())
-    points = pd.concat(points).sort_values(["ratio", "total", "label"])
-    curve = logistic(points[["ratio", "total"]].to_numpy(float), points["label"].to_numpy(float), points["count"].to_numpy(float))
+        seen = model.weigh(rows.filter(F.col("fold") == f).select("label", "text"), unseen, "ratio")
+        points.append(seen.groupBy("label", F.round(scaled(F.col("ratio")), 3).alias("x")).count().toPandas())
+    points = pd.concat(points).sort_values(["x", "label"])
+    curve = logistic(points["x"].to_numpy(float), points["label"].to_numpy(float), points["count"].to_numpy(float))
     discard(rows)
     discard(counts)
     return model, curve
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns and, of every row, _score (0 to 1) and _predicted.
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, names: tuple[str, str] = ("_score", "_predicted")) -> DataFrame:
+    """docs' columns and, of every row, the score (0 to 1) and the prediction, in columns of the given names; where docs
+    has such columns, underscores are added (see fresh).
 
     Only text is an input of a score. Empty and null texts, and texts without letters, have a ratio of 0. Without
     training rows of both classes all texts get the same score. Rows that repeat an id each have a score;
     of training texts of one label whose shingle sets are equal or nearly so one is learnt from, or few, and all others
     are; an id that the label table repeats has its largest label. An empty table gives no rows.
     """
-    model, curve = train(docs, labels, label)
-    out = model.weigh(docs, "ab")
+    model, (slope, offset) = train(docs, labels, label)
+    score, predicted, ratio = fresh(docs, *names, "ratio")
+    out = model.weigh(docs, "ab", ratio)
     discard(model.items)
-    logit = F.lit(float(curve[0])) * F.col("_evidence.ratio") + F.lit(float(curve[1])) * F.col("_evidence.total") + F.lit(float(curve[2]))
-    out = out.withColumn("_score", 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), logit)))))
-    return out.drop("_evidence").withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    logit = F.lit(slope) * scaled(F.col(ratio)) + F.lit(offset)
+    out = out.withColumn(score, 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), logit)))))
+    return out.drop(ratio).withColumn(predicted, (F.col(score) >= threshold).cast("int"))

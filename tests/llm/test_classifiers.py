@@ -1,8 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from deltascape.llm.quality import classify, feature_counts, features
 from deltascape.llm.toxicity import toxicity
@@ -48,17 +51,108 @@ def test_quality_learns_repetition(spark):
     accuracy(classify(docs, labels))
 
 
-def test_toxicity_learns_words_and_stems(spark):
+def test_toxicity_learns_words(spark):
     docs, labels = corpus(spark, lambda words, rng: " ".join(w if rng.random() > 0.1 else rng.choice(["zornig", "scumbag", "nastyva" + rng.choice("aeiou") + rng.choice("bcdfgh")]) for w in [*words, "zornig"]))
     got = accuracy(toxicity(docs, labels))
     assert len(got) == 605
 
 
-def test_toxicity_of_an_unseen_form_of_a_telling_stem(spark):
-    docs, labels = corpus(spark, lambda words, rng: " ".join([*words, *("nasty" + rng.choice(WORDS) for _ in range(3))]))
-    new = documents(spark, [(7, "balan beter " * 10 + "nastyquux nastyfrob", "a"), (8, "balan beter " * 10, "a")])
-    scores = {r.doc_id: r._score for r in toxicity(docs.unionByName(new.withColumn("doc_id", new.doc_id + 5000)), labels).filter("doc_id > 5000").collect()}
-    assert scores[5007] > 0.7 > scores[5008]
+def test_toxicity_tells_by_histories(spark):
+    """The same words in both classes, and as often: only what stands before them differs."""
+
+    def mark(words, rng):
+        return " ".join(x for w in words for x in (rng.choice(["balan", "beter"]), w))
+
+    docs, labels = corpus(spark, mark)
+    ordered = lambda bad: [f"{a} {b}" for a, b in (("zorn", "kumquat"), ("blau", "pomelo"))] if bad else ["zorn pomelo", "blau kumquat"]
+    rows = [(i, f"{t} {' '.join(ordered(i % 2))}", s) for i, t, s in docs.filter("doc_id < 600").select("doc_id", "text", "source").toPandas().drop_duplicates("doc_id").itertuples(index=False)]
+    docs = documents(spark, [(i, " ".join(sorted(set(t.split()) & set(WORDS))) + " " + " ".join(t.split()[-4:]), s) for i, t, s in rows])
+    accuracy(toxicity(docs, labels))
+
+
+def brute_force_ratio(rows, texts, bound):
+    """Mean log ratios by the formulas, over dictionaries: rows of (text, label) to learn from, texts to score."""
+    found = {c: (Counter(), Counter()) for c in (0, 1)}
+    for text, label in rows:
+        words = text.split()
+        found[label][0].update(set(words))
+        found[label][1].update(set(zip(["", *words], words)))  # noqa: B905
+    n = [sum(label == c for _, label in rows) for c in (0, 1)]
+    pairs = set(found[0][1]) | set(found[1][1])
+    shared = {w: k / len(pairs) for w, k in Counter(w for _, w in pairs).items()}
+
+    def cut(counts):
+        ones, twos = (sum(v == k for v in counts.values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    def tells(k0, k1):
+        parts = [k * math.log(k * sum(n) / ((k0 + k1) * n[c])) for c, k in enumerate((k0, k1)) if k]
+        return 2 * sum(parts) > bound
+
+    def of_word(c, w):
+        counts = found[c][0]
+        if not tells(found[0][0][w], found[1][0][w]):
+            return shared[w]
+        return (max(counts[w] - cut(counts), 0) + cut(counts) * len(counts) * shared[w]) / sum(counts.values())
+
+    def of_pair(c, v, w):
+        counts = found[c][1]
+        behind = [k for (h, _), k in counts.items() if h == v]
+        return (max(counts[v, w] - cut(counts), 0) + cut(counts) * len(behind) * of_word(c, w)) / sum(behind) if behind else of_word(c, w)
+
+    out = []
+    for text in texts:
+        words, total = text.split(), 0.0
+        for v, w in zip(["", *words], words):  # noqa: B905
+            if (v, w) in pairs and tells(found[0][1][v, w], found[1][1][v, w]):
+                total += math.log(of_pair(1, v, w) / of_pair(0, v, w))
+            elif w in shared:
+                total += math.log(of_word(1, w) / of_word(0, w))
+        out.append(total / max(len(words), 1))
+    return out
+
+
+def test_toxicity_model_equals_brute_force(spark):
+    from deltascape.llm import toxicity as T
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        words = [rng.choice(WORDS[:12]) for _ in range(rng.randint(3, 12))]
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["zorn", "scum"])
+            words += ["kalan", "vile"]
+        rows.append((" ".join(words), int(i % 3 == 0), i % 2))
+    texts = [t for t, *_ in rows[:30]] + ["kalan vile zorn unseen vile", ""]
+    names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
+    frame = spark.createDataFrame(rows, "text string, label int, fold int")
+    counts = frame.mapInPandas(T.count_items, "item string, " + ", ".join(f"{n} long" for n in names)).groupBy("item").agg(*[F.sum(n).alias(n) for n in names])
+    model = T.build_models(counts)
+    assert model.items.filter("item like '% %'").count() > 0
+    asked = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for m, folds in T.FOLDS.items():
+        got = [r.ratio for r in model.weigh(asked, m, "ratio").orderBy("i").collect()]
+        assert got == pytest.approx(brute_force_ratio([(t, y) for t, y, f in rows if f in folds], texts, T.BEYOND_CHANCE), abs=1e-9)
+
+
+def test_toxicity_passes_counts_on_in_parts(monkeypatch):
+    from deltascape.llm import toxicity as T
+
+    frame = pd.DataFrame({"text": ["a b c", "a b", "c"], "label": [0, 1, 0], "fold": [0, 1, 0]})
+    whole = pd.concat(T.count_items(iter([frame]))).groupby("item").sum()
+    monkeypatch.setattr(T, "HELD_ITEMS", 2)
+    parts = list(T.count_items(iter([frame])))
+    assert len(parts) > 2
+    assert pd.concat(parts).groupby("item").sum().equals(whole)
+
+
+def test_names_that_clash(spark):
+    docs, labels = corpus(spark, lambda words, rng: " ".join([*words, "zorn", "scum"]))
+    docs = docs.limit(50).withColumnRenamed("kept", "_score").withColumnRenamed("size", "ratio")
+    for f in (classify, toxicity):
+        out = f(docs, labels)
+        assert out.columns == [*docs.columns, "_score_", "_predicted"]
+        assert {r._score for r in out.select("_score").collect()} == {"x"}
 
 
 def test_toxicity_keeps_rare_telling_words_of_a_large_corpus(spark, monkeypatch):
@@ -68,7 +162,7 @@ def test_toxicity_keeps_rare_telling_words_of_a_large_corpus(spark, monkeypatch)
     docs, labels = corpus(spark, lambda words, rng: " ".join([*words, rng.choice(["zorn", "scum", "nast", "vile", "crud", "muck"])]))
     score = lambda: {(r.doc_id, r.text): r._score for r in toxicity(docs, labels).select("doc_id", "text", "_score").collect()}
     whole = score()
-    monkeypatch.setattr(T, "MODEL_WORDS", 3)
+    monkeypatch.setattr(T, "MODEL_ITEMS", 3)
     assert score() == pytest.approx(whole, abs=1e-9)
     accuracy(toxicity(docs, labels))
 
