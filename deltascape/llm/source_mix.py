@@ -4,7 +4,8 @@ A source's target is its share of the mix by weight, filled like water: no sourc
 times, and what a full source leaves over goes to the others by weight. Complete epochs of a source come first. The
 rest is a weighted sample without replacement: every document gets an exponential key, scaled by its quality weight,
 and documents are taken by rising key until the token budget is spent; the last one is cut at the budget. The running
-sums behind that are two-level, over slices of the key range, so that no task holds a whole source.
+sums behind that are two-level, over slices of the key range that are bounded whatever the weights, so that no task
+holds a whole source.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, fresh, materialise, numbered, row_key, select_present
 
-#: Documents in a slice of a source's key range, on average.
+#: Documents in a slice of a source's key range that are expected at most.
 SLICE_ROWS = 8192
+#: The largest share of exponentials, of any scales, in one doubling of their value: the maximum of ln 2 x exp(-x).
+DOUBLING = 0.255
 #: Weights of the sources by their place in code point order, repeating.
 PLACE_WEIGHTS = (5.0, 2.0, 1.0)
 MIX_SHARE, MAX_EPOCHS = 1.5, 2
@@ -63,12 +66,19 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = PLACE_WEIGHT
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def slice_of(key: Column, n_docs: Column, slice_rows: int) -> Column:
+    """The slice of a key: so many equal steps to each doubling that, whatever weights scale the keys of a source's
+    n_docs documents, no step is expected to hold more than slice_rows."""
+    steps = F.greatest(F.lit(1), F.ceil(n_docs * F.lit(DOUBLING) / slice_rows))
+    return F.floor(F.log2(key) * steps)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = PLACE_WEIGHTS, share: float = MIX_SHARE, max_epochs: int = MAX_EPOCHS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per row of docs (doc_id, text and source are read): doc_id, source, size, source_size, target, taken.
 
     taken counts words with repeats: complete epochs of the source, then the sample's share; a source's sum is its
     target rounded down. Null texts have size 0 and are taken 0 times; a null source is a source, the last. Rows that
-    repeat an id share a key and rank by size. Ids rank by the hash of their text form; ties of hashes by id. Extra
+    repeat an id share a key and rank by size; those of one id, text length and quality are in one slice, however many. Ids rank by the hash of their text form; ties of hashes by id. Extra
     columns play no part; an empty table gives no rows.
     """
     text = F.col("text")
@@ -81,11 +91,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = PLACE_WEIGHTS, sha
         targets["source"], "source_size", "target", "n_docs",
         F.least(F.lit(max_epochs), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("long").alias("epochs"),
     )
-    plan = materialise(
-        plan.withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size")).withColumn("slices", F.ceil(F.col("n_docs") / slice_rows)), "plan"
-    ).withColumnRenamed("source", "_source")
-    # keys spread as exponentials: 1 - exp(-key) spreads them evenly, so slices of it hold like numbers of documents
-    placed = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("slices")), F.col("slices") - 1))
+    plan = materialise(plan.withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size")), "plan").withColumnRenamed("source", "_source")
+    placed = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).withColumn("slice", slice_of(F.col("key"), F.col("n_docs"), slice_rows))
     known = F.coalesce(F.col("source").isNull(), F.lit(False)).alias("none"), F.coalesce("source", F.lit("")).alias("name")
     placed = placed.withColumn("name", known[1]).withColumn("none", known[0])
     before = Window.partitionBy("none", "name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from deltascape.llm.source_mix import mix_sources, mixed_documents, quality_weight, source_targets, word_count
+from deltascape.llm.source_mix import mix_sources, mixed_documents, quality_weight, slice_of, source_targets, uniform, word_count
 
 from .helpers import documents, simple
 
@@ -57,6 +57,15 @@ def test_slices_do_not_change_the_draw_and_reruns_agree(spark):
     assert draw(8) == draw(8192) == draw(8)
 
 
+@pytest.mark.parametrize("weight", ["0.1", "0.5", "1.0", "0.1 + 0.9 * rand(2)", "if(id % 2 = 0, 0.1, 1.0)"])
+def test_slices_are_bounded_whatever_the_weights(spark, weight):
+    n, most = 60000, 200
+    rows = spark.range(n).withColumn("key", -F.ln(uniform(F.col("id"))) / F.expr(weight)).withColumn("slice", slice_of(F.col("key"), F.lit(n), most))
+    sizes = [r["count"] for r in rows.groupBy("slice").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 1.5 * most
+    assert rows.selectExpr("corr(key, slice) > 0 AS up").first().up
+
+
 def test_epochs_precede_the_sample(spark):
     got = mix_sources(documents(spark, rows())).collect()
     for s in {r.source for r in got}:
