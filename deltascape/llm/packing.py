@@ -3,6 +3,10 @@
 Documents are tokenised, their hashed token vectors are projected to a few dimensions, and the points are ordered by
 their Hilbert index: a range sort by that key lays similar documents side by side. Each range is then one stream of
 token ids, cut every 1024, so that only the last sequence of a range has padding.
+
+Ranges are cut where the ids before them, counted by cell of the curve, reach even shares; a cell with more than a share
+is counted by smaller cells, and at last by a hash of its rows, so that equal documents are dealt out too. There are
+RANGES at most: in a larger corpus each is longer, which a stream does not mind.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,13 @@ from .common import materialise, select_present, splitmix
 SEQUENCE = 1024
 #: Projected dimensions and bits of each: the Hilbert index has their product.
 DIMS, BITS = 4, 8
-#: Ids in a range of the curve, on average; a range has less than one sequence of padding.
+#: Ids in a range of the curve at least, but for the last; a range has less than one sequence of padding.
 RANGE_TOKENS = 4_000_000
+#: Ranges at most. What is counted by cell on the driver has FIRST_CELLS rows, and in each later round 256 for each range.
+RANGES, FIRST_CELLS = 4096, 1 << 16
+#: Bits of a row's hash behind the curve index, by which a cell of equal documents is dealt; the place is both.
+HASH_BITS = 16
+PLACE_BITS = DIMS * BITS + HASH_BITS
 END_ID = 0
 #: The pattern by which the tokeniser splits text before merging, a fixed value of the vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,20 +110,47 @@ def tokenised(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFram
 
 
 def cut(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Pieces of a range's documents: the stream of their ids, cut at each multiple of width."""
-    first, at = TaskContext.get().partitionId() << 40, 0
+    """Pieces of the documents of a partition's ranges: the stream of a range's ids, cut at each multiple of width."""
+    now, at = -1, 0
     for frame in frames:
         rows = []
-        for doc_id, raw, total in zip(frame["doc_id"], frame["ids"], frame["doc_tokens"], strict=True):
+        for doc_id, raw, total, own in zip(frame["doc_id"], frame["ids"], frame["doc_tokens"], frame["range"], strict=True):
+            if own != now:
+                now, at = own, 0
             ids, start = np.frombuffer(raw, "<u2").astype("<u4"), 0
             while start < total:
                 length = min(total - start, width - at % width)
-                rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), total, first + at // width, at % width))
+                rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), total, (own << 40) + at // width, at % width))
                 start += length
                 at += length
         yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
+def range_starts(rows: DataFrame, total: int, range_tokens: int, most: int = RANGES) -> np.ndarray:
+    """The places at which ranges start, in order; the first is 0. rows has a place and doc_tokens."""
+    share = max(range_tokens, -(-total // most))
+    if total <= share:
+        return np.zeros(1, np.int64)
+    shift = PLACE_BITS - int(np.log2(FIRST_CELLS))
+    cells: list[tuple[int, int]] = []
+    within = rows
+    while True:
+        found = [(r[0] << shift, r[1]) for r in within.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.sum("doc_tokens")).collect()]
+        heavy = [a for a, n in found if n > share] if shift else []
+        cells += [(a, n) for a, n in found if not shift or n <= share]
+        if not heavy:
+            break
+        wide = rows.sparkSession.createDataFrame([(a >> shift,) for a in heavy], "heavy long")  # less than one for each range
+        within = rows.join(F.broadcast(wide), F.shiftright("place", shift) == F.col("heavy"), "left_semi")
+        shift = max(0, shift - 8)
+    cells.sort()
+    places, before = np.array([a for a, _ in cells], np.int64), np.cumsum([0, *(n for _, n in cells[:-1])])
+    number = before // share
+    starts = places[np.concatenate(([True], number[1:] != number[:-1]))]
+    starts[0] = 0
+    return starts
+
+
 def pack(docs: DataFrame, width: int = SEQUENCE, vocabulary: str | None = None, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """Pieces of all documents (doc_id and text are read): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -125,8 +160,12 @@ def pack(docs: DataFrame, width: int = SEQUENCE, vocabulary: str | None = None,
     path = vocabulary or vocabulary_path()
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = select_present(docs, "doc_id", "text").mapInPandas(lambda frames: tokenised(frames, path), f"doc_id {key}, ids binary, doc_tokens long, curve long")
-    rows = materialise(rows.withColumn("row_uid", F.monotonically_increasing_id()), "tokens")
+    place = F.shiftleft("curve", HASH_BITS).bitwiseOR(F.xxhash64("row_uid").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    rows = materialise(rows.withColumn("row_uid", F.monotonically_increasing_id()).withColumn("place", place).drop("curve"), "tokens")
     total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
-    laid = rows.repartitionByRange(-(-total // range_tokens) or 1, "curve", "doc_id", "row_uid").sortWithinPartitions("curve", "doc_id", "row_uid")
+    starts = range_starts(rows, total, range_tokens)
+    shipped = docs.sparkSession.sparkContext.broadcast(starts)  # RANGES numbers at most
+    number = F.pandas_udf(lambda places: pd.Series(np.searchsorted(shipped.value, places.to_numpy(), "right") - 1), "long")
+    laid = rows.withColumn("range", number("place")).repartitionById(len(starts), F.col("range").cast("int")).sortWithinPartitions("range", "place", "doc_id", "row_uid")
     schema = f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return laid.select("doc_id", "ids", "doc_tokens").mapInPandas(lambda frames: cut(frames, width), schema)
+    return laid.select("doc_id", "ids", "doc_tokens", "range").mapInPandas(lambda frames: cut(frames, width), schema)

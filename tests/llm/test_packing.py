@@ -80,3 +80,25 @@ def test_neighbours_share_sequences(spark):
         kinds = {r.doc_id % 2 for r in got if r.sequence_id == s}
         mixed += len(kinds) > 1
     assert mixed <= 3
+
+
+def test_ranges_are_even_in_ids(spark):
+    """Equal documents, long ones and a crowded part of the curve: no range has more than two shares and one document."""
+    from deltascape.llm import packing
+
+    rows = [(7 << 16 | i % 65536, 50) for i in range(3000)] + [((900_000 + i * i) << 16 | i, 400) for i in range(400)] + [((2_000_000_000 + i) << 16, 10) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "place long, doc_tokens long")
+    total, share = sum(n for _, n in rows), 5000
+    starts = packing.range_starts(frame, total, share)
+    assert starts[0] == 0 and (np.diff(starts) > 0).all()
+    sums = np.zeros(len(starts), int)
+    for place, n in rows:
+        sums[np.searchsorted(starts, place, "right") - 1] += n
+    assert sums.sum() == total and sums.max() <= 2 * share + 400 and len(starts) <= total // share + 1
+    few = packing.range_starts(frame, total, share, most=8)
+    assert 4 <= len(few) <= 8
+
+
+def test_very_long_text(spark):
+    got = pack(simple(spark, ["many words of one long text " * 60000, "short"])).collect()
+    assert sum(r.length for r in got if r.doc_id == 0) == len(reference_ids("many words of one long text " * 60000))
