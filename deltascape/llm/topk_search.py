@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: the threshold algorithm over sorted per-dimension lists.
 
 Vectors are dealt into blocks of bounded size, queries into bounded batches; every batch meets every block once. A
-block keeps its distinct vectors, each with the k + 1 smallest of its ids, and a sorted list per dimension. A query
+block keeps its distinct vectors, each with the smallest of its ids, k more than any id repeats, and a sorted list per dimension. A query
 walks the lists from their good ends in rounds, scores what it meets for the first time, and stops when the bound of
 the unseen, the sum of the last values met, cannot reach its kth result. The per-block results meet in one top k.
 """
@@ -32,7 +32,9 @@ class Block:
         new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
         starts = np.flatnonzero(new)
         self.vectors = vectors[starts]
-        self.ids = [np.unique(ids[a:b])[: k + 1] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+        # k stay whichever id asks
+        self.spare = int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 1
+        self.ids = [ids[a : min(b, a + k + self.spare)] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
         self.lists = np.argsort(self.vectors, axis=0, kind="stable")  # ascending values, a column per dimension
         self.sorted = np.take_along_axis(self.vectors, self.lists, axis=0)
 
@@ -60,8 +62,8 @@ class Block:
                 if len(best) == k:
                     keep = scores >= best[-1][0]
                     new, scores = new[keep], scores[keep]
-                if len(new) > k + 1:
-                    floor = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                if len(new) > k + self.spare:
+                    floor = np.partition(scores, len(scores) - k - self.spare)[len(scores) - k - self.spare]
                     keep = scores >= floor
                     new, scores = new[keep], scores[keep]
                 found = [(int(s), int(i)) for r, s in zip(new, scores, strict=True) for i in self.ids[r] if i != own]
@@ -97,16 +99,17 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, block_rows: i
 
     Queries are the rows whose vec_id is divisible by query_every, candidates all rows but the query's own. Vectors
     (columns vec_id and embedding are read) that are null, have no id or hold null or non-finite components take no
-    part; empty vectors score 0 with one another. A vec_id that stands in several rows counts once, with the smallest
-    of its vectors. Vectors shorter than the longest are as if filled with 0.
+    part; empty vectors score 0 with one another. Every row is a candidate, also those that repeat a vec_id, but for those
+    of the query's own id; an id that asks with several vectors has the best of all. Vectors shorter than the longest are
+    as if filled with 0. Scores are 64-bit sums: components up to 2**20 at 1024 dimensions stay within them.
     Fewer candidates than k give fewer rows; an empty table none.
     """
-    rows = integer_vectors(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = integer_vectors(vectors)
     widest = rows.agg(F.max(F.size("v")), F.count("*"), F.count(F.when(F.col("vec_id") % query_every == 0, 1))).first()
     width, count, asked = max(widest[0] or 1, 1), widest[1], widest[2]
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))
     blocks, batches = -(-count // block_rows) or 1, -(-asked // batch_queries) or 1
-    spread = F.xxhash64("vec_id")
+    spread = F.xxhash64("vec_id", "v")
     # columns of other names: both sides of a cogroup come from one table
     queries = rows.filter(F.col("vec_id") % query_every == 0).select(
         F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.pmod(spread, F.lit(batches)).cast("int").alias("q_batch"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_block")
