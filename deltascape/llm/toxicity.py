@@ -44,6 +44,8 @@ SHINGLE, NEAR = 3, 85
 FOLDS = {"a": (0,), "b": (1,), "ab": (0, 1)}
 #: Counted items that a worker holds before it passes them on.
 HELD_ITEMS = 200_000
+#: Buckets by hash in which the words and histories that matter are marked.
+BUCKETS = 1 << 17
 
 
 def words_of(text: str | None) -> list[str]:
@@ -194,6 +196,13 @@ def beyond_chance(m: str, texts: dict[int, float]) -> Column:
     return F.lit(2.0) * (part(0) + part(1)) > BEYOND_CHANCE
 
 
+def in_buckets(rows: DataFrame, key: str, of: DataFrame, name: str) -> DataFrame:
+    """rows whose key falls in a bucket that one of the names falls in: all that match, and few others, without a
+    shuffle of rows; the buckets that are sent out are BUCKETS at most."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    return rows.join(F.broadcast(of.select(at(name).alias("bucket_")).distinct()), at(key) == F.col("bucket_"), "left_semi")
+
+
 def build_models(counts: DataFrame) -> ShardedModel:
     """The models from the counts by item (columns n<class><fold>), as columns of Spark: every telling word and pair."""
     add = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
@@ -212,35 +221,40 @@ def build_models(counts: DataFrame) -> ShardedModel:
     of_words, of_pairs = (x.agg(*sums).first().asDict() for x in (words, pairs))
     cut = {(kind, m, c): discount(of[f"one_{m}{c}"], of[f"two_{m}{c}"]) for kind, of in (("word", of_words), ("pair", of_pairs)) for m, c in each}
 
+    # what tells, by column arithmetic alone; all that follows concerns these words, and the ends and histories of these pairs
+    def telling(rows: DataFrame) -> DataFrame:
+        for m in FOLDS:
+            rows = rows.withColumn(f"tells_{m}", beyond_chance(m, texts[m]))
+        return rows
+
+    some = " OR ".join(f"tells_{m}" for m in FOLDS)
+    told = materialise(telling(pairs).filter(some), "pairs")
+    wanted = materialise(telling(words).filter(some).select("item").union(told.select("word")).distinct(), "wanted")
+
     # words: the shared continuation share behind the class's discounted count
-    ends = pairs.groupBy(F.col("word").alias("item")).agg(*[F.count_if(known[m]).alias(f"ends_{m}") for m in FOLDS])
-    chances = words.join(ends, "item")
+    ends = in_buckets(pairs, "word", wanted, "item").groupBy(F.col("word").alias("item")).agg(*[F.count_if(known[m]).alias(f"ends_{m}") for m in FOLDS])
+    chances = telling(in_buckets(words, "item", wanted, "item")).join(ends, "item").join(wanted, "item", "left_semi")
     for m in FOLDS:
         shared = F.greatest(F.col(f"ends_{m}"), F.lit(1)) / F.lit(float(max(of_pairs[f"types_{m}"], 1)))
-        tells = beyond_chance(m, texts[m])
         for c in (0, 1):
             total, d = float(of_words[f"N_{m}{c}"] or 0), cut["word", m, c]
             p = F.greatest(F.col(f"{m}{c}") - F.lit(d), F.lit(0.0)) / total + shared * (d * of_words[f"types_{m}{c}"] / total) if total else shared
-            chances = chances.withColumn(f"p_{m}{c}", F.when(tells, p).otherwise(shared))
-        chances = chances.withColumn(f"tells_{m}", tells)
+            chances = chances.withColumn(f"p_{m}{c}", F.when(F.col(f"tells_{m}"), p).otherwise(shared))
     chances = materialise(chances.select("item", *[f"tells_{m}" for m in FOLDS], *[f"p_{m}{c}" for m, c in each]), "chances")
     own_words = chances.select("item", *[F.when(F.col(f"tells_{m}"), F.log(F.col(f"p_{m}1") / F.col(f"p_{m}0"))).alias(m) for m in FOLDS])
 
-    # pairs that tell: the class's discounted share behind their history, and the word's chance behind that
-    histories = pairs.groupBy("history").agg(*[f(F.col(f"{m}{c}")).alias(f"{k}_{m}{c}") for m, c in each for k, f in (("sum", F.sum), ("kinds", lambda n: F.count_if(n > 0)))])
-    telling = pairs
-    for m in FOLDS:
-        telling = telling.withColumn(f"tells_{m}", beyond_chance(m, texts[m]))
-    telling = materialise(telling.filter(" OR ".join(f"tells_{m}" for m in FOLDS)), "pairs")
-    # both sides of these joins have a row per key but the few pairs that tell
-    telling = telling.join(histories, "history").join(chances.select(F.col("item").alias("word"), *[f"p_{m}{c}" for m, c in each]), "word")
+    # pairs: the class's discounted share behind their history, and the word's chance behind that
+    histories = in_buckets(pairs, "history", told, "history").groupBy("history")
+    histories = histories.agg(*[f(F.col(f"{m}{c}")).alias(f"{k}_{m}{c}") for m, c in each for k, f in (("sum", F.sum), ("kinds", lambda n: F.count_if(n > 0)))])
+    # both joins have a row per key on one side, and the few pairs that tell on the other
+    told = told.join(histories, "history").join(chances.select(F.col("item").alias("word"), *[f"p_{m}{c}" for m, c in each]), "word")
 
     def behind(m: str, c: int) -> Column:
         of, d = F.col(f"sum_{m}{c}"), F.lit(cut["pair", m, c])
         own = (F.greatest(F.col(f"{m}{c}") - d, F.lit(0.0)) + d * F.col(f"kinds_{m}{c}") * F.col(f"p_{m}{c}")) / of
         return F.when(of > 0, own).otherwise(F.col(f"p_{m}{c}"))
 
-    own_pairs = telling.select("item", *[F.when(F.col(f"tells_{m}"), F.log(behind(m, 1) / behind(m, 0))).alias(m) for m in FOLDS])
+    own_pairs = told.select("item", *[F.when(F.col(f"tells_{m}"), F.log(behind(m, 1) / behind(m, 0))).alias(m) for m in FOLDS])
     return ShardedModel(materialise(own_words.unionByName(own_pairs).filter(F.coalesce(*FOLDS).isNotNull()), "telling"))
 
 
