@@ -43,7 +43,7 @@ SUPPORT = 3
 THRESHOLDS, BY_CHANCE = tuple(k / 20 for k in range(12, 20)), 0.01
 #: Terms of a higher disclosure are removed, not generalised.
 REMOVE = 0.9
-#: Buckets by hash of the terms whose totals are counted; terms of a pass over the texts.
+#: Buckets by hash of the two-word terms whose totals are counted; terms of a pass over the texts.
 BUCKETS, PASS_TERMS = 1 << 18, 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -171,9 +171,9 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
-def term_rows(frames: Iterator[pd.DataFrame], words_in: np.ndarray, heads_in: np.ndarray) -> Iterator[pd.DataFrame]:
-    """How often each term stands in a batch's texts, if its bucket, or that of its first word, is sought; the empty
-    term has the count of all words."""
+def term_rows(frames: Iterator[pd.DataFrame], pairs_in: np.ndarray, heads_in: np.ndarray) -> Iterator[pd.DataFrame]:
+    """How often each word stands in a batch's texts, and each two words in a row whose bucket, and that of the first,
+    is sought; the empty term has the count of all words."""
     for frame in frames:
         words: Counter = Counter()
         pairs: Counter = Counter()
@@ -186,15 +186,19 @@ def term_rows(frames: Iterator[pd.DataFrame], words_in: np.ndarray, heads_in: np
                 if first:
                     pairs.update(f"{v} {w}" for v, w in zip(own, own[1:]) if v in first)  # noqa: B905
         total = sum(words.values())
-        found = [(w, n) for w, n in words.items() if words_in[bucket(w)]] + [(p, n) for p, n in pairs.items() if words_in[bucket(p)]]
+        found = [*words.items(), *((p, n) for p, n in pairs.items() if pairs_in[bucket(p)])]
         yield pd.DataFrame([("", total), *found], columns=["term", "n"])
 
 
 def sought(terms: DataFrame) -> np.ndarray:
-    """Which of the BUCKETS hold one of the terms; bounded, and none is missed."""
-    out = np.zeros(BUCKETS, bool)
-    out[[r[0] for r in terms.select((F.crc32(F.col("term").cast("binary")) % BUCKETS).alias("at")).distinct().collect()]] = True
-    return out
+    """Which of the BUCKETS hold one of the terms; none is missed. They come as bits, 64 to a row."""
+    at = F.crc32(F.col("term").cast("binary")) % BUCKETS
+    bit = F.expr("shiftleft(1L, cast(at % 64 AS int))")
+    rows = terms.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("row")).agg(F.bit_or(bit).alias("bits")).collect()
+    out = np.zeros(BUCKETS // 64, np.int64)
+    for r in rows:
+        out[r["row"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def chance_bound(total: Column, share: Column, p: Column) -> Column:
@@ -217,8 +221,9 @@ def revealing_terms(texts: DataFrame, bits: np.ndarray) -> tuple[DataFrame | Non
     if by_term.isEmpty():
         discard(by_term)
         return None, {}
-    words_in, heads_in = sought(by_term), sought(by_term.filter(~is_word).withColumn("term", F.substring_index("term", " ", 1)))
-    counts = texts.mapInPandas(lambda frames: term_rows(frames, words_in, heads_in), "term string, n long")
+    in_a_row = by_term.filter(~is_word)
+    pairs_in, heads_in = sought(in_a_row), sought(in_a_row.withColumn("term", F.substring_index("term", " ", 1)))
+    counts = texts.mapInPandas(lambda frames: term_rows(frames, pairs_in, heads_in), "term string, n long")
     counts = materialise(counts.groupBy("term").agg(F.sum("n").alias("total")), "terms")
     words = counts.filter("term = ''").first()["total"]
     # a kind that is near every word has nothing to disclose
