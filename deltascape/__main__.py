@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from deltascape.operators import change as C
 from deltascape.operators import evaluation as E
 from deltascape.plans import review as R
-from deltascape.plans.config import PRESETS, DetectionConfig
+from deltascape.plans.config import PRESETS, preset
 from deltascape.sources import geojson as J
 
 
@@ -21,7 +21,7 @@ def _saved(df: DataFrame, path: str, order: list) -> None:
 
 
 def detect(spark: SparkSession, a: argparse.Namespace) -> None:
-    config = DetectionConfig.from_preset(a.preset, change_percentile=a.percentile, min_area_m2=a.min_area)
+    config = preset(a.preset).with_values({name: value for name, value in vars(a).items() if "." in name})
     got = R.detect_files(spark, a.before, a.after, config, a.before_dsm, a.after_dsm, before_date=a.before_date, after_date=a.after_date)
     for name in ("candidates", "uncertain", "likely_buildings"):
         _saved(got[name], f"{a.out}/{name}", [F.desc("area_m2"), F.col("region")])
@@ -89,8 +89,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}")
     for name in ("before-date", "after-date"):
         p.add_argument(f"--{name}", default="unknown")
-    for name in ("percentile", "min-area"):
-        p.add_argument(f"--{name}", type=float)
+    for name, setting in (("percentile", "threshold.percentile"), ("min-area", "shape.min_area_m2")):
+        p.add_argument(f"--{name}", type=float, dest=setting, default=argparse.SUPPRESS)
     add("compare", compare, "before", "after", distance=6.0, iou=0.1, outside=0.25, min_area=20.0)
     add("fuse", fuse, distance=2.0).add_argument("sources", nargs="+", help="name=path")
     add("sites", sites, "changes", "footprints", distance=10.0, radius=25.0)

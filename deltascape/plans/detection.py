@@ -15,7 +15,7 @@ from deltascape.functions import polygons as P
 from deltascape.operators import tiles as T
 from deltascape.operators.pixels import classify
 
-from .config import DetectionConfig
+from .config import Settings
 from .storage import materialise
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -67,17 +67,24 @@ def reduced(tiles: DataFrame, scene_size: tuple[int, int], k: int) -> np.ndarray
     return out
 
 
-def registration(before: DataFrame, after: DataFrame, config: DetectionConfig) -> K.Shift:
+#: The side of an image that the driver registers is at most this, or the number of tiles on a side.
+REDUCED = 1200
+
+
+def reduction(side: int) -> int:
+    """The least factor that divides a tile and takes a side of so many pixels to REDUCED; a whole tile for wider scenes."""
+    return next((k for k in range(1, T.TILE + 1) if T.TILE % k == 0 and side <= REDUCED * k), T.TILE)
+
+
+def registration(before: DataFrame, after: DataFrame, config: Settings) -> K.Shift:
     """The shift of one scene, found on images small enough for the driver."""
     size = after.agg(F.max(F.col("row0") + F.col("h")), F.max(F.col("col0") + F.col("w"))).first()
-    if not config.enable_registration:
+    if not config.registration.enabled:
         return K.Shift(False, reason="disabled")
-    k = 1
-    while max(size[0], size[1]) / k > 1200 or T.TILE % k:
-        k += 1
+    k = reduction(max(size[0], size[1]))
     b, a = reduced(before, (size[0], size[1]), k), reduced(after, (size[0], size[1]), k)
     valid = np.isfinite(a).all(axis=0) & np.isfinite(b).all(axis=0)
-    s = K.register(np.moveaxis(np.nan_to_num(b), 0, -1), np.moveaxis(np.nan_to_num(a), 0, -1), valid, config.max_registration_shift_px / k)
+    s = K.register(np.moveaxis(np.nan_to_num(b), 0, -1), np.moveaxis(np.nan_to_num(a), 0, -1), valid, config.registration.most_px / k)
     return K.Shift(s.applied, s.dx * k, s.dy * k, s.reason)
 
 
@@ -109,13 +116,13 @@ def score_tiles(before: DataFrame, after: DataFrame) -> DataFrame:
     return T.with_halo(T.stacked(before, after), 4, run)
 
 
-def shadow_tiles(tiles: DataFrame, pixel_m: float, config: DetectionConfig) -> DataFrame:
+def shadow_tiles(tiles: DataFrame, pixel_m: float, config: Settings) -> DataFrame:
     """1 in shadow, 0 beside: the darkest of the scene that are dark beside their surroundings. The wide context comes
     with its whole kernel; it is never cut."""
     grey = T.each_tile(tiles, lambda a, row: np.where(np.isfinite(a).all(axis=0), K.grey(np.moveaxis(np.nan_to_num(a[:3]), 0, -1)), np.nan)[None])
-    limits = T.percentile_limits(grey, [0.0, config.shadow_percentile / 100, 1.0], 4)
-    sigma = max(1.0, config.shadow_context_m / pixel_m)
-    size = K.odd_size(config.shadow_dilation_m, pixel_m)
+    limits = T.percentile_limits(grey, [0.0, config.shadow.percentile / 100, 1.0], 4)
+    sigma = max(1.0, config.shadow.context_m / pixel_m)
+    size = K.odd_size(config.shadow.dilation_m, pixel_m)
     halo = len(K.gaussian_kernel(sigma)) // 2
 
     def dark(a, row):
@@ -124,22 +131,22 @@ def shadow_tiles(tiles: DataFrame, pixel_m: float, config: DetectionConfig) -> D
         if high - low < 5:
             return np.zeros_like(a)
         filled = np.nan_to_num(g)
-        return (np.isfinite(g) & (g <= cut + 1e-4) & (filled <= K.blur(filled, sigma) * config.shadow_relative_brightness)).astype(np.float32)[None]
+        return (np.isfinite(g) & (g <= cut + 1e-4) & (filled <= K.blur(filled, sigma) * config.shadow.brightness)).astype(np.float32)[None]
 
     found = T.with_halo(grey, halo, dark)
     return T.with_halo(found, size // 2, lambda a, row: K.dilate(a[0] > 0, K.ellipse(size))[None]) if size > 1 else found
 
 
-def mask_tiles(score: DataFrame, threshold: float, pixel_m: float, config: DetectionConfig) -> DataFrame:
+def mask_tiles(score: DataFrame, threshold: float, pixel_m: float, config: Settings) -> DataFrame:
     """1 where the score reaches the threshold, opened and closed."""
-    size = K.odd_size(config.morphology_m, pixel_m) if config.morphology_m > 0 else 1
+    size = K.odd_size(config.shape.opening_m, pixel_m) if config.shape.opening_m > 0 else 1
     over = lambda a: np.nan_to_num(a[0], nan=-1.0) >= threshold
     if size <= 1:
         return T.each_tile(score, lambda a, row: over(a)[None])
     return T.with_halo(score, 4 * (size // 2), lambda a, row: K.opened_closed(over(a), size)[None])
 
 
-def region_rows(regions: DataFrame, layers: DataFrame, grid: Grid, config: DetectionConfig, forced: str | None) -> DataFrame:
+def region_rows(regions: DataFrame, layers: DataFrame, grid: Grid, config: Settings, forced: str | None) -> DataFrame:
     """A row per 4-connected outline of the regions: raw area and statistics, and the outline in map coordinates.
 
     layers has the score and, if known, the height difference of each tile.
@@ -175,9 +182,9 @@ def region_rows(regions: DataFrame, layers: DataFrame, grid: Grid, config: Detec
             inside = _own(labels, shape)
             world = [grid.to_map(ring + [left, top]) for ring in shape]
             raw = P.area(world)
-            if raw < config.min_area_m2:
+            if raw < config.shape.min_area_m2:
                 continue
-            final = P.regularise([world], grid.pixel_m, grid.projected)[0] if config.regularise else world
+            final = P.regularise([world], grid.pixel_m, grid.projected)[0] if config.shape.regularise else world
             scores, heights = score[inside], height[inside]
             heights = heights[np.isfinite(heights)]
             out.append((
@@ -197,29 +204,36 @@ def _own(labels: np.ndarray, shape: P.Rings) -> np.ndarray:
     return labels == labels[y, x]
 
 
-def detect(before: DataFrame, after: DataFrame, grid: Grid, config: DetectionConfig | None = None, before_dsm: DataFrame | None = None, after_dsm: DataFrame | None = None, before_date: str = "unknown", after_date: str = "unknown") -> dict[str, DataFrame]:
+def only_scene(limits: dict) -> list[float]:
+    """The limits of the one scene that a plan is given; several are an error, as each has its own."""
+    if len(limits) != 1:
+        raise ValueError(f"a plan takes one scene, not {len(limits)}: {sorted(map(str, limits))[:5]}")
+    return next(iter(limits.values()))
+
+
+def detect(before: DataFrame, after: DataFrame, grid: Grid, config: Settings | None = None, before_dsm: DataFrame | None = None, after_dsm: DataFrame | None = None, before_date: str = "unknown", after_date: str = "unknown") -> dict[str, DataFrame]:
     """Candidates of change of one scene, given as tiles on the grid of the later date.
 
     Returns frames candidates, uncertain (deferred for shadow), likely_buildings, score, mask and report. Both height
     models or neither are given.
     """
-    config = (config or DetectionConfig()).checked()
+    config = config or Settings()
     if (before_dsm is None) != (after_dsm is None):
         raise ValueError("give both height models or neither")
     shift = registration(before, after, config)
     b8, a8 = materialise(stretched(before), "before"), materialise(stretched(after), "after")
     score = materialise(score_tiles(shifted(b8, shift), a8), "score")
-    limits = T.percentile_limits(score, [config.change_percentile / 100], 4)
+    limits = T.percentile_limits(score, [config.threshold.percentile / 100], 4)
     if not limits:
         raise ValueError("the two dates share no valid pixels")
-    threshold = config.change_threshold if config.change_threshold is not None else next(iter(limits.values()))[0]
+    threshold = config.threshold.fixed if config.threshold.fixed is not None else only_scene(limits)[0]
     mask = materialise(mask_tiles(score, threshold, grid.pixel_m, config), "mask")
     layers = score
     if before_dsm is not None:
         delta = T.each_tile(T.stacked(before_dsm, after_dsm), lambda a, row: (a[1] - a[0])[None])
         layers = T.stacked(score, delta)
     labelled = materialise(T.label_tiles(mask), "regions")
-    if config.enable_shadow_filter:
+    if config.shadow.enabled:
         dark = T.each_tile(T.stacked(shadow_tiles(before, grid.pixel_m, config), shadow_tiles(after, grid.pixel_m, config)), lambda a, row: (a.max(axis=0) > 0)[None])
         own = labelled.join(dark.select(*T.KEY, "row0", "col0", "h", "w", "bands", "data"), T.KEY)
 
@@ -233,14 +247,14 @@ def detect(before: DataFrame, after: DataFrame, grid: Grid, config: DetectionCon
 
         share = own.mapInPandas(counted, "region long, n long, dark long").groupBy("region").agg((F.sum("dark") / F.sum("n")).alias("share"))
         labelled = labelled.join(share, "region")
-        sure, unsure = labelled.filter(F.col("share") < config.shadow_component_overlap), labelled.filter(F.col("share") >= config.shadow_component_overlap)
+        sure, unsure = labelled.filter(F.col("share") < config.shadow.overlap), labelled.filter(F.col("share") >= config.shadow.overlap)
     else:
         sure, unsure = labelled, labelled.filter(F.lit(False))
     dates = {"before_capture_date": before_date, "after_capture_date": after_date}
 
     def finished(rows: DataFrame, forced: str | None) -> DataFrame:
         made = region_rows(rows, layers, grid, config, forced)
-        kind = classify(F.col("mean_height_change_m"), F.col("rectangularity"), config.min_height_rise_m, config.building_rectangularity, forced)
+        kind = classify(F.col("mean_height_change_m"), F.col("rectangularity"), config.shape.min_rise_m, config.shape.rectangularity, forced)
         made = made.withColumn("classification", kind).withColumn("area_m2", F.round("area_m2", 2)).withColumn("mean_height_change_m", F.round("mean_height_change_m", 3))
         return materialise(made.select("scene", "region", "classification", "area_m2", "rectangularity", "mean_change_score", "mean_height_change_m", *[F.lit(v).alias(k) for k, v in dates.items()], "rings"), "candidates")
 
@@ -259,7 +273,7 @@ def expand(seeds: DataFrame, score: DataFrame, grid: Grid, percentile: float, re
     """Tiles of seeds (1 in the first band) grown through high scores; a seed reaches reach_m at most, so the surroundings
     of each tile that can matter are within a halo of twice the reach."""
     limits = T.percentile_limits(score, [percentile / 100], 4)
-    cut = next(iter(limits.values()))[0]
+    cut = only_scene(limits)[0]
     reach = max(1, round(reach_m / grid.pixel_m))
     element = K.ellipse(2 * reach + 1)
 

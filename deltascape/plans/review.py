@@ -17,7 +17,7 @@ from deltascape.operators import tiles as T
 from deltascape.operators.pixels import shadow_risk
 from deltascape.operators.spatial import as_rings
 
-from .config import DetectionConfig
+from .config import Settings
 from .detection import Grid, detect, region_rows, shadow_tiles
 from .storage import in_order, materialise
 
@@ -61,10 +61,10 @@ def zonal(shapes: DataFrame, layers: DataFrame, grid: Grid) -> DataFrame:
     return sums.agg(F.sum("pixels").alias("pixels"), F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"), F.max("largest").alias("largest"))
 
 
-def annotate_shadow(before: DataFrame, after: DataFrame, candidates: DataFrame, grid: Grid, config: DetectionConfig | None = None) -> DataFrame:
+def annotate_shadow(before: DataFrame, after: DataFrame, candidates: DataFrame, grid: Grid, config: Settings | None = None) -> DataFrame:
     """candidates (idx, rings in the grid's metres) with the shadowed share of their valid pixels at each date and at
     either, and the risk; candidates without valid pixels have nulls and the risk no_valid_pixels."""
-    config = config or DetectionConfig()
+    config = config or Settings()
     valid = lambda t, name: T.each_tile(t, lambda a, row: np.isfinite(a).all(axis=0)[None])
     layers = T.stacked(T.stacked(shadow_tiles(before, grid.pixel_m, config), shadow_tiles(after, grid.pixel_m, config)), T.stacked(valid(before, "b"), valid(after, "a")))
 
@@ -83,7 +83,7 @@ def annotate_shadow(before: DataFrame, after: DataFrame, candidates: DataFrame,
 def footprints_of(probability: DataFrame, grid: Grid, threshold: float, min_area: float = 20.0, simplify_m: float = 0.25, regularise: bool = True) -> DataFrame:
     """Footprints of a probability raster: idx, rings and box in map metres, area and mean probability, largest first."""
     mask = T.each_tile(probability, lambda a, row: (np.nan_to_num(a[0], nan=-1.0) >= threshold)[None])
-    config = DetectionConfig(min_area_m2=min_area, regularise=regularise, enable_registration=False)
+    config = Settings().with_values({"shape.min_area_m2": min_area, "shape.regularise": regularise, "registration.enabled": False})
     rows = region_rows(T.label_tiles(mask), probability, grid, config, None).filter(F.col("area_m2") >= min_area)
     flat = F.flatten("rings")
     edge = lambda pick, axis: pick(F.transform(flat, lambda p: p[axis]))
@@ -140,7 +140,7 @@ def resolution_ladder(tiles: DataFrame, factors: list[int]) -> dict[int, DataFra
     return out
 
 
-def detect_files(spark: SparkSession, before: str, after: str, config: DetectionConfig | None = None, before_dsm: str | None = None, after_dsm: str | None = None, **dates) -> dict[str, DataFrame]:
+def detect_files(spark: SparkSession, before: str, after: str, config: Settings | None = None, before_dsm: str | None = None, after_dsm: str | None = None, **dates) -> dict[str, DataFrame]:
     """Detection between two GeoTIFF files: the later one gives the grid, the others are laid on it."""
     from deltascape.sources import images
 

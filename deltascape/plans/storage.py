@@ -13,20 +13,24 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir, or, with a local master only, one of this
+    machine where it is unset (tests). Elsewhere a folder must be named: executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="deltascape-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialise(df: DataFrame, name: str = "part") -> DataFrame:
+def materialise(df: DataFrame, name: str = "part", compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -39,6 +43,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver for a collection of garbage, upon which Spark deletes the shuffle files of finished steps."""
+    spark._jvm.System.gc()
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows inner join groups on key, where groups has one row per key and column size counts its rows.
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from deltascape.functions import text as T
 from deltascape.operators import evaluation as E
 from deltascape.operators import pixels as X
-from deltascape.plans.config import DetectionConfig
+from deltascape.plans.config import Settings, preset
 
 LABELS = "assessment string, outline_quality string, issues array<string>, detected int, total int"
 
@@ -60,15 +60,16 @@ def test_histogram_percentiles_equal_exact_ones(spark):
 
 
 def test_presets():
-    assert DetectionConfig.from_preset("balanced") == DetectionConfig()
-    high = DetectionConfig.from_preset("high-recall")
-    assert (high.change_percentile, high.min_area_m2, high.morphology_m, high.enable_shadow_filter) == (96.0, 10.0, 0.2, False)
-    mixed = DetectionConfig.from_preset("high-recall", change_percentile=97.5, min_area_m2=None)
-    assert (mixed.change_percentile, mixed.min_area_m2) == (97.5, 10.0)
+    assert preset("balanced") == Settings()
+    high = preset("high-recall")
+    assert (high.threshold.percentile, high.shape.min_area_m2, high.shape.opening_m, high.shadow.enabled) == (96.0, 10.0, 0.2, False)
+    mixed = high.with_values({"threshold.percentile": 97.5})
+    assert (mixed.threshold.percentile, mixed.shape.min_area_m2) == (97.5, 10.0)
     with pytest.raises(ValueError):
-        DetectionConfig.from_preset("none")
-    with pytest.raises(ValueError):
-        DetectionConfig(change_threshold=2.0).checked()
+        preset("none")
+    for name, value in (("threshold.fixed", 2.0), ("threshold.percentile", 100), ("shadow.overlap", 0), ("shape.min_area_m2", -1), ("registration.most_px", -0.5)):
+        with pytest.raises(ValueError, match=name):
+            Settings().with_values({name: value})
 
 
 VERDICTS = [

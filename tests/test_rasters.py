@@ -5,12 +5,12 @@ from hypothesis import strategies as st
 
 from deltascape.functions import kernels as K
 from deltascape.operators import tiles as T
-from deltascape.plans.config import DetectionConfig
+from deltascape.plans.config import Settings
 from deltascape.plans.detection import Grid, detect, expand
 from deltascape.sources import geotiff
 
 GRID = Grid((1, 0, 0, 0, -1, 100))
-PLAIN = DetectionConfig(change_threshold=0.05, morphology_m=0, min_area_m2=20, enable_registration=False)
+PLAIN = Settings().with_values({"threshold.fixed": 0.05, "shape.opening_m": 0, "shape.min_area_m2": 20, "registration.enabled": False})
 
 
 def tiles(spark, a, tile=T.TILE):

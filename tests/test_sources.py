@@ -139,15 +139,29 @@ def test_surveys():
         V.SurveyClient("root", "key", Fake(*[Reply(429)] * 4), sleep=waits.append).tile("s", "Vert", 20, 1, 2)
 
 
+class Pages:
+    """A footprint service by offset, as executors ask it in any order."""
+
+    def __init__(self, *records, total=None):
+        self.records, self.total = records, len(records) if total is None else total
+
+    def get(self, url, params, timeout):
+        return Reply(200, {"total_count": self.total, "results": list(self.records[params["offset"] : params["offset"] + params["limit"]])})
+
+
 def test_footprint_pages(spark):
     record = {"geo_shape": {"geometry": polygon(0, 0, 1, 1)}}
-    session = Fake(Reply(200, {"total_count": 2, "results": [record]}), Reply(200, {"total_count": 2, "results": [{"geo_shape": {"type": "Point"}}]}))
+    records = [record, {"geo_shape": {"type": "Point"}}, {"geo_shape": polygon(0, 0, 2, 2)}, {}, record]
     where = V.bbox_clause(144.951, -37.811, 144.953, -37.809)
     assert where == "in_bbox(geo_point_2d, -37.811, 144.951, -37.809, 144.953)"
-    assert V.footprint_snapshot(spark, session, "url", where, 2023, 1).count() == 1
-    assert [o["params"]["offset"] for _, _, o in session.asked] == [0, 1]
+    got = V.footprint_snapshot(spark, lambda: Pages(*records), "url", where, 2023, 2).orderBy("candidate_id").collect()
+    assert [(r.candidate_id, r.snapshot_year, json.loads(r.geometry)) for r in got] == [(1, 2023, polygon(0, 0, 1, 1)), (2, 2023, polygon(0, 0, 2, 2)), (3, 2023, polygon(0, 0, 1, 1))]
+    assert V.footprint_snapshot(spark, lambda: Pages(), "url", where, 2023).count() == 0
+    assert [list(p) for p in V.footprint_pages(Pages(*records), "url", where, 2)] == [records[:2], records[2:4], records[4:]]
     with pytest.raises(V.ServiceError):
-        list(V.footprint_pages(Fake(Reply(200, {"total_count": 2, "results": []})), "url", where))
+        list(V.footprint_pages(Pages(total=2), "url", where))
+    with pytest.raises(Exception, match="empty before the declared total"):
+        V.footprint_snapshot(spark, lambda: Pages(*records, total=20), "url", where, 2023, 5).collect()
     with pytest.raises(ValueError):
         V.bbox_clause(2, 0, 1, 1)
 
