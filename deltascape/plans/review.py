@@ -148,7 +148,7 @@ def detect_files(spark: SparkSession, before: str, after: str, config: Settings
     if g.epsg is None:
         raise ValueError("the later image has no reference system")
     affine = tuple(g.affine)
-    lay = lambda path, scene, bands: images.read_onto(spark, path, scene, affine, g.height, g.width, bands)
+    lay = lambda path, scene, bands: images.read_onto(spark, path, scene, affine, g.height, g.width, bands, g.epsg)
     heights = [lay(p, "scene", 1) if p else None for p in (before_dsm, after_dsm)]
     return detect(lay(before, "scene", 3), images.read_tiles(spark, after, "scene"), Grid(affine, g.projected), config, *heights, **dates)
 

@@ -41,23 +41,42 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "affine array<double>, epsg int, height int, width int, projected boolean")
 
 
-def read_onto(spark: SparkSession, path: str, scene: str, affine: tuple, height: int, width: int, bands: int = 3) -> DataFrame:
-    """Tiles of a GeoTIFF on another grid of the same reference system: bilinear pixels, nearest validity."""
+def read_onto(spark: SparkSession, path: str, scene: str, affine: tuple, height: int, width: int, bands: int = 3, epsg: int | None = None) -> DataFrame:
+    """Tiles of a GeoTIFF on another grid: bilinear pixels, nearest validity. epsg is the grid's reference system; an
+    image of another one is reprojected between 4326 and 3857, and an error otherwise."""
 
     def run(frames):
         for frame in frames:
             for content in frame["content"]:
                 i = geotiff.read(bytes(content))
-                yield pd.DataFrame(T.tile_rows(scene, resample(i, affine, height, width, bands)), columns=T.COLUMNS)
+                yield pd.DataFrame(T.tile_rows(scene, resample(i, affine, height, width, bands, epsg)), columns=T.COLUMNS)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, T.SCHEMA)
 
 
-def resample(image: geotiff.Raster, affine: tuple, height: int, width: int, bands: int) -> np.ndarray:
-    """Bands of an image at the pixel centres of a grid; NaN outside it and where it is invalid."""
+#: Radius of the sphere of EPSG:3857 in metres, a fixed value.
+RADIUS_M = 6378137.0
+
+
+def reprojected(x: np.ndarray, y: np.ndarray, source: int | None, target: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of one reference system in another."""
+    if source == target or source is None and target is None:
+        return x, y
+    if (source, target) == (3857, 4326):
+        return np.degrees(x / RADIUS_M), np.degrees(2 * np.arctan(np.exp(y / RADIUS_M)) - np.pi / 2)
+    if (source, target) == (4326, 3857):
+        return np.radians(x) * RADIUS_M, np.log(np.tan(np.pi / 4 + np.radians(y) / 2)) * RADIUS_M
+    raise ValueError(f"no reprojection from EPSG {source} to EPSG {target}")
+
+
+def resample(image: geotiff.Raster, affine: tuple, height: int, width: int, bands: int, epsg: int | None = None) -> np.ndarray:
+    """Bands of an image at the pixel centres of a grid; NaN outside it and where it is invalid. Without epsg the grid is
+    in the image's own reference system."""
     a, b, c, d, e, f = affine
     column, row = np.meshgrid(np.arange(width) + 0.5, np.arange(height) + 0.5)
     x, y = a * column + b * row + c, d * column + e * row + f
+    if epsg is not None:
+        x, y = reprojected(x, y, epsg, image.epsg)
     a, b, c, d, e, f = image.affine
     det = a * e - b * d
     u, v = (e * (x - c) - b * (y - f)) / det - 0.5, (a * (y - f) - d * (x - c)) / det - 0.5

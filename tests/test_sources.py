@@ -121,6 +121,30 @@ class Fake:
         return self.replies.pop(0)
 
 
+def test_reprojection_on_read():
+    """A grid in metres over an image in degrees finds the same places; unknown pairs are an error."""
+    h, w, step = 40, 50, 1e-4
+    rows, columns = np.meshgrid(np.arange(h), np.arange(w), indexing="ij")
+    degrees = geotiff.Raster(np.stack([columns, rows]).astype(np.float32), (step, 0.0, 145.0, 0.0, -step, -37.0), 4326, None)
+    x, y = images.reprojected(np.array([145.0 + 10.5 * step, 145.0 + 20.5 * step]), np.array([-37.0 - 10.5 * step, -37.0 - 20.5 * step]), 4326, 3857)
+    metres = (float(x[1] - x[0]), 0.0, float(x[0]) - float(x[1] - x[0]) / 2, 0.0, float(y[1] - y[0]), float(y[0]) - float(y[1] - y[0]) / 2)
+    got = images.resample(degrees, metres, 2, 2, 2, 3857)
+    assert np.allclose(got[0], [[10, 20], [10, 20]], atol=1e-2) and np.allclose(got[1], [[10, 10], [20, 20]], atol=1e-2)
+    back = images.reprojected(x, y, 3857, 4326)
+    assert np.allclose(back[0], [145.0 + 10.5 * step, 145.0 + 20.5 * step]) and np.allclose(back[1], [-37.0 - 10.5 * step, -37.0 - 20.5 * step])
+    with pytest.raises(ValueError):
+        images.resample(degrees, metres, 2, 2, 2, 28355)
+
+
+def test_wide_scenes_are_reduced():
+    from deltascape.plans import detection as D
+
+    assert [D.reduction(n) for n in (100, 1200, 1201, 5000, 307_200, 310_000, 10**7)] == [1, 1, 2, 8, 256, 256, 256]
+    assert D.only_scene({("s", 0): [0.5]}) == [0.5]
+    with pytest.raises(ValueError):
+        D.only_scene({("s", 0): [0.5], ("t", 0): [0.6]})
+
+
 def test_surveys():
     good = {"surveys": [{"id": "s", "captureDate": "2024-01-02T00:00:00Z", "pixelSize": 0.075, "resources": {"tiles": [{"type": "Vert", "scale": 20}, {"type": "Vert", "scale": 21}, {"type": "North", "scale": 22}]}}]}
     client = V.SurveyClient("root", "key", Fake(Reply(200, good)))
