@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltascape.plans.storage import discard, join_groups, materialise, shared_dir
+from deltascape.plans.storage import discard, join_groups, materialise, release, shared_dir
 
-__all__ = ["discard", "join_groups", "materialise", "shared_dir"]
+__all__ = ["discard", "join_groups", "materialise", "release", "shared_dir"]
 
 #: The characters that the contracts count as white space, as a Java regex class.
 SPACE = r"\x20\x09-\x0D"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, is_training, materialise, select_present
+from .common import discard, fresh, is_training, materialise, release, select_present
 from .near_dedup import ANCHORS, PART_DOCS, PART_SHINGLES, linked, shingle_set
 
 #: The telling words and pairs that a shard of the model holds, about.
@@ -43,7 +43,7 @@ SHINGLE, NEAR = 3, 85
 #: Folds of the training rows that each model learns from: one for each fold left out, and the final one.
 FOLDS = {"a": (0,), "b": (1,), "ab": (0, 1)}
 #: Counted items that a worker holds before it passes them on.
-HELD_ITEMS = 200_000
+HELD_ITEMS = 150_000
 #: Buckets by hash in which the words and histories that matter are marked.
 BUCKETS = 1 << 17
 
@@ -62,7 +62,7 @@ def count_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
 
     def passed(found: dict[str, Counter]) -> pd.DataFrame:
-        items = list(set().union(*found.values()))
+        items = sorted(set().union(*found.values()))  # neighbours alike: they take half the space in a shuffle
         return pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
 
     found: dict[str, Counter] = {n: Counter() for n in names}
@@ -300,6 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Sha
     # of copies and near copies with one label one counts, or few; what only shares the least hash counts in full
     key = docs.schema["doc_id"].dataType.simpleString()
     hashed = materialise(texts.join(own.hint("merge"), "doc_id").mapInPandas(least_shingles, f"doc_id {key}, text string, label int, h long"), "hashed")
+    release(docs.sparkSession)
     # hashes of many rows, a thousand at most, are dealt into parts, equal texts into one
     most = max(PART_DOCS, hashed.count() // 1000)
     hot = hashed.groupBy("h", "label").agg(F.ceil(F.count("*") / most).alias("parts")).filter("parts > 1")
@@ -308,9 +309,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Sha
     fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).cast("int")
     rows = materialise(met.mapInPandas(drop_copies, f"doc_id {key}, text string, label int").select("text", "label", fold.alias("fold")), "labelled")
     discard(hashed)
+    release(docs.sparkSession)
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
     counts = rows.mapInPandas(count_items, "item string, " + ", ".join(f"{n} long" for n in names))
-    counts = materialise(counts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]), "items")
+    # the workers have added up what they hold; nearly all items are rare, so adding up again before the shuffle gains little
+    counts = counts.repartition("item").groupBy("item").agg(*[F.sum(n).alias(n) for n in names])
+    counts = materialise(counts, "items", compression="zstd")
+    release(docs.sparkSession)
     model = build_models(counts)
     points = []
     for f, unseen in ((0, "b"), (1, "a")):
