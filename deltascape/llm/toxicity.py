@@ -43,9 +43,11 @@ SHINGLE, NEAR = 3, 85
 #: Folds of the training rows that each model learns from: one for each fold left out, and the final one.
 FOLDS = {"a": (0,), "b": (1,), "ab": (0, 1)}
 #: Counted items that a worker holds before it passes them on.
-HELD_ITEMS = 150_000
+HELD_ITEMS = 300_000
 #: Buckets by hash in which the words and histories that matter are marked.
 BUCKETS = 1 << 17
+#: Bits of the map of labelled ids.
+MARKS = 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,7 +64,7 @@ def count_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
 
     def passed(found: dict[str, Counter]) -> pd.DataFrame:
-        items = sorted(set().union(*found.values()))  # neighbours alike: they take half the space in a shuffle
+        items = list(set().union(*found.values()))
         return pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
 
     found: dict[str, Counter] = {n: Counter() for n in names}
@@ -279,6 +281,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(out[0]), float(out[1])
 
 
+def maybe_among(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows whose key may be one of those of the other table: all that are, and of others one in some, by a bitmap of
+    MARKS bits that is sent out whole, whatever the size of either."""
+    at = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    words = of.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).collect()
+    bits = [0] * (MARKS // 64)
+    for r in words:
+        bits[r["word"]] = r["bits"]
+    one = rows.sparkSession.createDataFrame([(bits,)], "marks_ array<bigint>")  # a single row
+    word = F.element_at("marks_", F.shiftright(at, 6).cast("int") + 1)
+    return rows.join(F.broadcast(one), word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0, "left_semi")
+
+
 def evidence_udf(spark: SparkSession, model: BackoffModel):
     shipped = spark.sparkContext.broadcast(model)
 
@@ -299,6 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Sha
     texts = select_present(docs, "doc_id", "text").filter(is_training(F.col("doc_id")))
     # of copies and near copies with one label one counts, or few; what only shares the least hash counts in full
     key = docs.schema["doc_id"].dataType.simpleString()
+    texts = maybe_among(texts, own, "doc_id")  # so that the join moves few texts without a label
     hashed = materialise(texts.join(own.hint("merge"), "doc_id").mapInPandas(least_shingles, f"doc_id {key}, text string, label int, h long"), "hashed")
     release(docs.sparkSession)
     # hashes of many rows, a thousand at most, are dealt into parts, equal texts into one
@@ -312,9 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Sha
     release(docs.sparkSession)
     names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
     counts = rows.mapInPandas(count_items, "item string, " + ", ".join(f"{n} long" for n in names))
-    # the workers have added up what they hold; nearly all items are rare, so adding up again before the shuffle gains little
-    counts = counts.repartition("item").groupBy("item").agg(*[F.sum(n).alias(n) for n in names])
-    counts = materialise(counts, "items", compression="zstd")
+    counts = materialise(counts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]), "items", compression="zstd")
     release(docs.sparkSession)
     model = build_models(counts)
     points = []

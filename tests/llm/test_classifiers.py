@@ -146,6 +146,17 @@ def test_toxicity_passes_counts_on_in_parts(monkeypatch):
     assert pd.concat(parts).groupby("item").sum().equals(whole)
 
 
+def test_marks_miss_no_key(spark, monkeypatch):
+    from deltascape.llm import toxicity as T
+
+    rows = spark.range(5000).selectExpr("if(id = 7, null, id) AS doc_id", "'t' AS text")
+    of = spark.range(0, 9000, 30).selectExpr("id AS doc_id")
+    for marks, most in ((1 << 20, 200), (1 << 8, 5000)):
+        monkeypatch.setattr(T, "MARKS", marks)
+        got = {r.doc_id for r in T.maybe_among(rows, of, "doc_id").select("doc_id").collect()}
+        assert set(range(0, 5000, 30)) <= got and len(got) <= most
+
+
 def test_names_that_clash(spark):
     docs, labels = corpus(spark, lambda words, rng: " ".join([*words, "zorn", "scum"]))
     docs = docs.limit(50).withColumnRenamed("kept", "_score").withColumnRenamed("size", "ratio")
