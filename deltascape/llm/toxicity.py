@@ -24,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, is_training, materialise, release, select_present
+from .common import discard, fresh, is_training, materialise, release, select_present, stream_groups
 from .near_dedup import ANCHORS, PART_DOCS, PART_SHINGLES, linked, shingle_set
 
 #: The telling words and pairs that a shard of the model holds, about.
@@ -44,6 +45,10 @@ SHINGLE, NEAR = 3, 85
 FOLDS = {"a": (0,), "b": (1,), "ab": (0, 1)}
 #: Counted items that a worker holds before it passes them on.
 HELD_ITEMS = 300_000
+#: Characters of text for each block of items in the shuffle; a word and its pair take four at least, so a block has half
+#: as many items at most, whatever the size of the corpus.
+BLOCK_CHARS = 1 << 19
+COUNTS = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
 #: Buckets by hash in which the words and histories that matter are marked.
 BUCKETS = 1 << 17
 #: Bits of the map of labelled ids.
@@ -61,13 +66,12 @@ def pairs_of(words: list[str]) -> list[str]:
 
 def count_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts that hold each word and each pair, by class and fold; the empty item counts the texts themselves."""
-    names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
 
     def passed(found: dict[str, Counter]) -> pd.DataFrame:
-        items = list(set().union(*found.values()))
+        items = sorted(set().union(*found.values()))
         return pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
 
-    found: dict[str, Counter] = {n: Counter() for n in names}
+    found: dict[str, Counter] = {n: Counter() for n in COUNTS}
     for frame in frames:
         for text, label, fold in zip(frame["text"], frame["label"], frame["fold"], strict=True):
             words = words_of(text)
@@ -77,11 +81,57 @@ def count_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own[""] += 1
             if sum(map(len, found.values())) > HELD_ITEMS:
                 yield passed(found)
-                found = {n: Counter() for n in names}
+                found = {n: Counter() for n in COUNTS}
     if any(found.values()):
         yield passed(found)
 
 
+def packed_counts(blocks: int):
+    """Counts of items as rows block, n and packed: the items of a block by hash, sorted, with their counts, compressed.
+
+    Sorted neighbours share most of their letters, so that a block takes a fraction of what its items take as rows.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
+        for frame in count_items(frames):
+            names = [w.encode() for w in frame["item"]]
+            block = np.fromiter((xxhash.xxh3_64_intdigest(w) % blocks for w in names), np.int64, len(names))
+            counts = frame[COUNTS].to_numpy(np.uint32)
+            order = np.argsort(block, kind="stable")
+            out = []
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                body = counts[part].T.tobytes() + b"\n".join([names[i] for i in part])
+                out.append((int(block[part[0]]), len(part), press.compress(body)))
+            yield pd.DataFrame(out, columns=["block", "n", "packed"])
+
+    return run
+
+
+def summed_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counts by item of a partition of packed rows sorted by block; memory holds one block's."""
+    press = zstandard.ZstdDecompressor()
+    for _, frame in stream_groups(frames, ["block"]):
+        names: list[str] = []
+        counts = []
+        for n, packed in zip(frame["n"], frame["packed"], strict=True):
+            body = press.decompress(bytes(packed))
+            counts.append(np.frombuffer(body, np.uint32, n * len(COUNTS)).reshape(len(COUNTS), n))
+            names += body[n * len(COUNTS) * 4 :].decode().split("\n")
+        at, items = pd.factorize(np.array(names, object), sort=True)
+        each = np.concatenate(counts, axis=1)
+        sums = {k: np.bincount(at, c, len(items)).astype(np.int64) for k, c in zip(COUNTS, each, strict=True)}
+        yield pd.DataFrame({"item": items} | sums)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """item and its counts, over all rows (text, label and fold); one row an item."""
+    blocks = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
+    packed = rows.mapInPandas(packed_counts(blocks), "block long, n long, packed binary")
+    dealt = packed.repartition("block").sortWithinPartitions("block")
+    return dealt.mapInPandas(summed_counts, "item string, " + ", ".join(f"{n} long" for n in COUNTS))
+
+
 def least_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows with the least hash of each text's shingles, on which near copies mostly agree; of equal texts of a
     batch and label that of the least id."""
@@ -326,9 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Sha
     rows = materialise(met.mapInPandas(drop_copies, f"doc_id {key}, text string, label int").select("text", "label", fold.alias("fold")), "labelled")
     discard(hashed)
     release(docs.sparkSession)
-    names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
-    counts = rows.mapInPandas(count_items, "item string, " + ", ".join(f"{n} long" for n in names))
-    counts = materialise(counts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]), "items", compression="zstd")
+    counts = materialise(counted(rows), "items", compression="zstd")
     release(docs.sparkSession)
     model = build_models(counts)
     points = []

@@ -5,7 +5,6 @@ from collections import Counter
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from deltascape.llm.quality import classify, feature_counts, features
 from deltascape.llm.toxicity import toxicity
@@ -124,10 +123,7 @@ def test_toxicity_model_equals_brute_force(spark):
             words += ["kalan", "vile"]
         rows.append((" ".join(words), int(i % 3 == 0), i % 2))
     texts = [t for t, *_ in rows[:30]] + ["kalan vile zorn unseen vile", ""]
-    names = [f"n{c}{f}" for c in (0, 1) for f in (0, 1)]
-    frame = spark.createDataFrame(rows, "text string, label int, fold int")
-    counts = frame.mapInPandas(T.count_items, "item string, " + ", ".join(f"{n} long" for n in names)).groupBy("item").agg(*[F.sum(n).alias(n) for n in names])
-    model = T.build_models(counts)
+    model = T.build_models(T.counted(spark.createDataFrame(rows, "text string, label int, fold int")))
     assert model.items.filter("item like '% %'").count() > 0
     asked = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     for m, folds in T.FOLDS.items():
@@ -146,6 +142,29 @@ def test_toxicity_passes_counts_on_in_parts(monkeypatch):
     assert pd.concat(parts).groupby("item").sum().equals(whole)
 
 
+def test_toxicity_counts_survive_packing(spark, monkeypatch):
+    """Counts through compressed blocks equal those by plain sums: many blocks, many parts, no rows, texts without words."""
+    from deltascape.llm import toxicity as T
+
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice([*WORDS[:20], "Straße", "naïve", "語"]) for _ in range(rng.randint(0, 9))), rng.randint(0, 1), rng.randint(0, 1)) for _ in range(300)] + [(None, 0, 1), ("12 34", 1, 0)]
+    schema = "text string, label int, fold int"
+    plain = pd.concat(T.count_items(iter([pd.DataFrame(rows, columns=["text", "label", "fold"])]))).groupby("item").sum()
+    expected = {w: tuple(int(v) for v in r) for w, r in zip(plain.index, plain.to_numpy(), strict=True)}
+    monkeypatch.setattr(T, "BLOCK_CHARS", 500)
+    for held in (T.HELD_ITEMS, 40):
+        monkeypatch.setattr(T, "HELD_ITEMS", held)
+        batches = [pd.DataFrame(rows[k::3], columns=["text", "label", "fold"]) for k in range(3)]
+        packed = pd.concat(T.packed_counts(7)(iter(batches))).sort_values("block", kind="stable")
+        assert packed["block"].nunique() == 7
+        cut = len(packed) // 2  # blocks go across batches
+        got = pd.concat(T.summed_counts(iter([packed[:cut], packed[cut:]])))
+        assert {r[0]: tuple(r[1:]) for r in got[["item", *T.COUNTS]].itertuples(index=False)} == expected and got["item"].is_unique
+    got = T.counted(spark.createDataFrame(rows, schema).repartition(4)).collect()
+    assert len(got) == len(expected) and {r[0]: tuple(r)[1:] for r in got} == expected
+    assert T.counted(spark.createDataFrame([], schema)).isEmpty()
+
+
 def test_marks_miss_no_key(spark, monkeypatch):
     from deltascape.llm import toxicity as T
 
