@@ -12,6 +12,7 @@ from deltascape.operators import change as C
 from deltascape.operators import evaluation as E
 from deltascape.plans import review as R
 from deltascape.plans.config import PRESETS, preset
+from deltascape.plans.storage import materialise
 from deltascape.sources import geojson as J
 
 
@@ -38,13 +39,13 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def fuse(spark: SparkSession, a: argparse.Namespace) -> None:
     got = C.fuse_candidates(J.read_sources(spark, a.sources), a.distance)
-    got.coalesce(1).write.mode("overwrite").json(f"{a.out}/fused")
+    got.write.mode("overwrite").json(f"{a.out}/fused")
     J.write_report(got.groupBy("source_count").agg(F.count("*").alias("n")), f"{a.out}/report")
 
 
 def sites(spark: SparkSession, a: argparse.Namespace) -> None:
     got = C.build_sites(J.read_features(spark, a.changes).withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))), J.read_features(spark, a.footprints), a.distance, a.radius)
-    got.coalesce(1).write.mode("overwrite").json(f"{a.out}/sites")
+    got.write.mode("overwrite").json(f"{a.out}/sites")
     J.write_report(E.zero_filled_counts(got, "review_priority", ("high", "medium", "low")), f"{a.out}/report")
 
 
@@ -58,7 +59,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     matches = C.reference_matches(reference.join(labels, "id"), predictions, a.distance)
     outcomes = C.prediction_outcomes(matches, predictions)
     J.write_report(C.reference_recall(matches, outcomes), f"{a.out}/report")
-    outcomes.coalesce(1).write.mode("overwrite").json(f"{a.out}/predictions")
+    outcomes.write.mode("overwrite").json(f"{a.out}/predictions")
 
 
 def summarise(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -69,6 +70,54 @@ def page(spark: SparkSession, a: argparse.Namespace) -> None:
     J.review_page(J.read_features(spark, a.candidates), ["id", "classification", "area_m2"]).coalesce(1).write.mode("overwrite").text(f"{a.out}/page")
 
 
+def shadow(spark: SparkSession, a: argparse.Namespace) -> None:
+    got = materialise(R.annotate_shadow_files(spark, a.before, a.after, a.candidates), "annotated")
+    _saved(got, f"{a.out}/annotated", [F.col("idx")])
+    J.write_report(E.zero_filled_counts(got, "shadow_risk", ("high", "medium", "low", "no_valid_pixels", "invalid_geometry")), f"{a.out}/report")
+
+
+def expand(spark: SparkSession, a: argparse.Namespace) -> None:
+    got = R.expand_files(spark, a.candidates, a.score, percentile=a.percentile, reach_m=a.reach, closing_m=a.closing, min_area=a.min_area)
+    for name in ("candidates", "likely_buildings"):
+        _saved(got[name], f"{a.out}/{name}", [F.desc("area_m2"), F.col("region")])
+    J.write_report(got["report"], f"{a.out}/report")
+
+
+def sample(spark: SparkSession, a: argparse.Namespace) -> None:
+    own = lambda name: F.get_json_object("properties", f"$.{name}")
+    rows = J.read_features(spark, a.candidates).withColumn("tier", own("change_support.tier")).withColumn("area_m2", F.coalesce("area_m2", F.lit(0.0)))
+    if a.labels:  # the labels of a sample drawn before: id to verdict
+        verdicts = spark.read.text(a.labels, wholetext=True).select(F.explode(F.from_json(F.coalesce(F.get_json_object("value", "$.labels"), F.col("value")), "map<string,string>")).alias("id", "verdict"))
+        drawn = rows.withColumn("stratum", F.coalesce(own("review_stratum"), E.stratum(F.col("tier"), F.col("area_m2"))))
+        J.write_report(E.weighted_precision(drawn, verdicts, E.strata_plan(drawn, int(a.target), int(a.least))), f"{a.out}/report")
+        return
+    got = R.review_sample(rows, int(a.target), int(a.least), int(a.seed))
+    _saved(got["sample"].withColumnRenamed("stratum", "review_stratum"), f"{a.out}/sample", [F.col("review_order")])
+    J.write_report(got["plan"], f"{a.out}/plan")
+    J.write_report(got["template"], f"{a.out}/template")
+
+
+def enhanced(spark: SparkSession, a: argparse.Namespace) -> None:
+    channels: dict[str, DataFrame] = {}
+    states = []
+    for value in a.channels:
+        name, sign, path = value.partition("=")
+        if not (name and sign and path) or name in channels:
+            raise ValueError(f"channels are name=path, each name once; not {value!r}")
+        try:  # a channel that fails is reported, and the others go on
+            channels[name] = materialise(J.read_features(spark, path), "channel")
+            states.append((name, None))
+        except Exception as error:  # noqa: BLE001
+            states.append((name, str(error).splitlines()[0]))
+    J.write_report(spark.createDataFrame(states, "channel string, error string"), f"{a.out}/channels")
+    if not channels:
+        raise ValueError("all channels failed")
+    got = R.enhanced(channels, a.distance)
+    got["fused"].write.mode("overwrite").json(f"{a.out}/fused")
+    for name in ("channel_counts", "by_sources"):
+        J.write_report(got[name], f"{a.out}/{name}")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("deltascape")
     sub = top.add_subparsers(dest="command", required=True)
@@ -97,6 +146,10 @@ def parser() -> argparse.ArgumentParser:
     add("evaluate", evaluate, "reference", "labels", "predictions", distance=8.0).add_argument("--real", default="real_change")
     add("summarise", summarise, "labels")
     add("page", page, "candidates")
+    add("shadow", shadow, "before", "after", "candidates")
+    add("expand", expand, "candidates", "score", percentile=96.5, reach=6.0, closing=1.0, min_area=20.0)
+    add("sample", sample, "candidates", target=25, least=3, seed=20260811).add_argument("--labels")
+    add("enhanced", enhanced, distance=3.0).add_argument("channels", nargs="+", help="name=path")
     return top
 
 

@@ -89,10 +89,10 @@ def preferred_class(counted: DataFrame, key: str) -> DataFrame:
     return counted.groupBy(key).agg(F.max_by("classification", F.struct("n", marked.alias("p"), "classification")).alias("preferred"))
 
 
-def cluster(shapes: DataFrame, d: float, side: float, different: str | None = None) -> DataFrame:
+def cluster(shapes: DataFrame, d: float, side: float, different: str | None = None, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """idx and cluster (its smallest idx) of shapes joined by proximity, perhaps between unlike values of a column only."""
     pairs = self_pairs(shapes, d, side, "idx", different).select(F.col("l_idx").alias("u"), F.col("r_idx").alias("v"))
-    joined = connected_components(pairs.select("u", "v"), ONE_TASK_EDGES)
+    joined = connected_components(pairs.select("u", "v"), one_task_edges)
     return shapes.select("idx").join(joined.select(F.col("node").alias("idx"), "root"), "idx", "left").select("idx", F.coalesce("root", "idx").alias("cluster"))
 
 

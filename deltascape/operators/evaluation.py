@@ -59,10 +59,15 @@ def strata_plan(df: DataFrame, target: int, least: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, plan: DataFrame, key: str, seed: int) -> DataFrame:
-    """The planned number of rows of each stratum, first by a hash of key and seed, so the same on every run."""
+    """The planned number of rows of each stratum, first by a hash of key and seed, so the same on every run.
+
+    The plan's largest number goes into the plan as a literal, so that each task passes on that many rows of a stratum at
+    most, before the shuffle.
+    """
+    most = plan.agg(F.max("sampled")).first()[0] or 0
     order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     ranked = df.withColumn("draw", F.row_number().over(Window.partitionBy("stratum").orderBy(order, key)))
-    return ranked.join(F.broadcast(plan.select("stratum", "sampled")), "stratum").filter("draw <= sampled").drop("draw", "sampled")
+    return ranked.filter(F.col("draw") <= F.lit(most)).join(F.broadcast(plan.select("stratum", "sampled")), "stratum").filter("draw <= sampled").drop("draw", "sampled")
 
 
 def review_order(df: DataFrame, area: str, key: str) -> DataFrame:

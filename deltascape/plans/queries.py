@@ -154,6 +154,12 @@ def jon16(spark, d):
     return e.select("vec_id", F.size(F.filter(zipped, lambda z: z["a"] < z["b"])).cast("long").alias("rising"))
 
 
+@query("jon16_positional_join", f"{W} SELECT a.id AS after_id, b.id AS before_id, a.ordinal FROM fp_after a JOIN fp_before b ON b.ordinal = a.ordinal")
+def jon16_join(spark, d):
+    after, before = (f(spark, d).select(F.col("id").alias(name), "ordinal") for f, name in ((V.fp_after, "after_id"), (V.fp_before, "before_id")))
+    return after.join(before, "ordinal").select("after_id", "before_id", "ordinal")
+
+
 # components and pipelines
 
 
@@ -162,6 +168,12 @@ def grf01(spark, d):
     return C.cluster(V.cand(spark, d), 2.0, SIDE, "source")
 
 
+@query("grf01_components_rounds", ORACLES["grf01_components"])
+def grf01_rounds(spark, d):
+    """The same by the distributed rounds alone, which larger tables take."""
+    return C.cluster(V.cand(spark, d), 2.0, SIDE, "source", 0)
+
+
 @query("vec01_compare_footprints", f"""{W}, p AS (SELECT a.id, b.id AS bid, b.ordinal, {DIST} AS d, {OVER} AS o, ({OVER}) / ({AREA} + (b.x1 - b.x0) * (b.y1 - b.y0) - {OVER})::DOUBLE AS iou FROM fp_after a CROSS JOIN fp_before b),
 st AS (SELECT id, min(d) AS near, max(iou) AS best FROM p GROUP BY id),
 m AS (SELECT id, list(bid ORDER BY ordinal) AS ids FROM p WHERE d <= 6 OR iou >= 0.1 GROUP BY id),
@@ -659,6 +671,12 @@ def ras11(spark, d):
     return X.pixel_components(mask(spark, d)).select("pid", "label")
 
 
+@query("ras11_pixel_components_rounds", ORACLES["ras11_pixel_components"])
+def ras11_rounds(spark, d):
+    """The same by the distributed rounds alone."""
+    return X.pixel_components(mask(spark, d), one_task_edges=0).select("pid", "label")
+
+
 @query("ras12_shadow_split", f"WITH RECURSIVE {V.PX_SQL}, {FLOOD} SELECT label, count(*) AS pixels, round(avg(CASE WHEN pid % 3 = 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS shadow_fraction, avg(CASE WHEN pid % 3 = 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AS uncertain FROM l GROUP BY label")
 def ras12(spark, d):
     labelled = X.pixel_components(mask(spark, d)).withColumn("shadow", F.col("pid") % 3 == 0)

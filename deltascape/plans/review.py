@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascape.functions import kernels as K
@@ -14,11 +14,11 @@ from deltascape.functions import polygons as P
 from deltascape.operators import change as C
 from deltascape.operators import evaluation as E
 from deltascape.operators import tiles as T
-from deltascape.operators.pixels import shadow_risk
+from deltascape.operators.pixels import classify, shadow_risk
 from deltascape.operators.spatial import as_rings
 
 from .config import Settings
-from .detection import Grid, detect, region_rows, shadow_tiles
+from .detection import Grid, detect, expand, only_scene, region_rows, shadow_tiles
 from .storage import in_order, materialise
 
 
@@ -63,7 +63,8 @@ def zonal(shapes: DataFrame, layers: DataFrame, grid: Grid) -> DataFrame:
 
 def annotate_shadow(before: DataFrame, after: DataFrame, candidates: DataFrame, grid: Grid, config: Settings | None = None) -> DataFrame:
     """candidates (idx, rings in the grid's metres) with the shadowed share of their valid pixels at each date and at
-    either, and the risk; candidates without valid pixels have nulls and the risk no_valid_pixels."""
+    either, and the risk; candidates without valid pixels have nulls and the risk no_valid_pixels, those without a proper
+    outline nulls and invalid_geometry."""
     config = config or Settings()
     valid = lambda t, name: T.each_tile(t, lambda a, row: np.isfinite(a).all(axis=0)[None])
     layers = T.stacked(T.stacked(shadow_tiles(before, grid.pixel_m, config), shadow_tiles(after, grid.pixel_m, config)), T.stacked(valid(before, "b"), valid(after, "a")))
@@ -74,10 +75,64 @@ def annotate_shadow(before: DataFrame, after: DataFrame, candidates: DataFrame,
         any_ = vb | va
         return np.stack([np.where(vb, b, np.nan), np.where(va, c, np.nan), np.where(any_, b | c, np.nan)])
 
-    by_band = zonal(candidates.select("idx", "rings"), T.each_tile(layers, shares), grid)
+    sound = F.coalesce((F.size("rings") > 0) & F.forall("rings", lambda ring: (F.size(ring) >= 4) & F.forall(ring, finite)), F.lit(False))
+    by_band = zonal(candidates.filter(sound).select("idx", "rings"), T.each_tile(layers, shares), grid)
     wide = by_band.groupBy("idx").agg(*[F.round(F.max(F.when(F.col("band") == k, F.col("mean"))), 4).alias(n) for k, n in enumerate(("before_shadow_fraction", "after_shadow_fraction", "combined_shadow_fraction"))])
     out = candidates.join(wide, "idx", "left")
-    return out.withColumn("shadow_risk", F.coalesce(shadow_risk(F.col("combined_shadow_fraction")), F.lit("no_valid_pixels")))
+    return out.withColumn("shadow_risk", F.when(~sound, "invalid_geometry").otherwise(F.coalesce(shadow_risk(F.col("combined_shadow_fraction")), F.lit("no_valid_pixels"))))
+
+
+def finite(p: Column) -> Column:
+    """Whether a point's coordinates are finite numbers."""
+    return F.coalesce((F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")), F.lit(False))
+
+
+def burnt(shapes: DataFrame, tiles: DataFrame, grid: Grid) -> DataFrame:
+    """Tiles of one band, 1 at pixels whose centres lie in a shape (idx, rings) and 0 beside. A tile takes each of its
+    pixels once, however many shapes cover it."""
+    a, _, c, _, e, f = grid.affine
+    met = box_tiles(shapes, grid).join(tiles.select(*T.KEY, "row0", "col0", "h", "w"), ["tile_row", "tile_col"])
+
+    def inside(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                x, y = np.meshgrid(c + a * (row.col0 + np.arange(row.w) + 0.5), f + e * (row.row0 + np.arange(row.h) + 0.5))
+                out.append((row.scene, row.tile_row, row.tile_col, np.flatnonzero(P.contains(as_rings(row.shape), x, y)).tolist()))
+            yield pd.DataFrame(out, columns=[*T.KEY, "at"])
+
+    marks = met.mapInPandas(inside, "scene string, tile_row int, tile_col int, at array<int>").select(*T.KEY, F.explode("at").alias("at")).groupBy(*T.KEY).agg(F.collect_set("at").alias("at"))
+
+    def drawn(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                band = np.zeros(row.h * row.w, np.float32)
+                if row.at is not None:
+                    band[np.asarray(row.at, int)] = 1
+                out.append((row.scene, row.tile_row, row.tile_col, row.row0, row.col0, row.h, row.w, 1, band.tobytes()))
+            yield pd.DataFrame(out, columns=T.COLUMNS)
+
+    return tiles.select(*T.KEY, "row0", "col0", "h", "w").join(marks, T.KEY, "left").mapInPandas(drawn, T.SCHEMA)
+
+
+def expand_confirmed(seeds: DataFrame, score: DataFrame, grid: Grid, percentile: float = 96.5, reach_m: float = 6.0, closing_m: float = 1.0, min_area: float = 20.0) -> dict[str, DataFrame]:
+    """Candidates that grow out of confirmed ones (idx, rings in the grid's coordinates) through high scores nearby, with
+    the report of the run; regions without a seed never appear."""
+    size = K.odd_size(closing_m, grid.pixel_m) if closing_m > 0 else 1
+    grown = expand(burnt(seeds, score, grid), score, grid, percentile, reach_m)
+    if size > 1:
+        element = K.ellipse(size)
+        grown = T.with_halo(grown, size, lambda a, row: K.erode(K.dilate(np.nan_to_num(a[0]) > 0, element), element)[None])
+    mask = materialise(T.each_tile(grown, lambda a, row: (np.nan_to_num(a[0]) > 0)[None]), "expanded")
+    config = Settings().with_values({"shape.min_area_m2": min_area, "shape.opening_m": closing_m})
+    rows = region_rows(T.label_tiles(mask), score, grid, config, None)
+    kind = classify(F.col("mean_height_change_m"), F.col("rectangularity"), config.shape.min_rise_m, config.shape.rectangularity)
+    found = materialise(rows.withColumn("classification", kind).withColumn("area_m2", F.round("area_m2", 2)).drop("classification_forced", "raw_area"), "candidates")
+    cut = only_scene(T.percentile_limits(score, [percentile / 100], 4))[0]
+    counts = found.agg(F.count("*").alias("candidate_count")).join(F.broadcast(seeds.agg(F.count("*").alias("seed_candidate_count"))))  # one row each
+    report = counts.select("*", *[F.lit(float(v)).alias(k) for k, v in (("grow_threshold", cut), ("grow_percentile", percentile), ("max_distance_m", reach_m), ("closing_m", closing_m))])
+    return {"candidates": found, "likely_buildings": found.filter(F.col("classification") == "likely_building_change"), "mask": mask, "report": report}
 
 
 def footprints_of(probability: DataFrame, grid: Grid, threshold: float, min_area: float = 20.0, simplify_m: float = 0.25, regularise: bool = True) -> DataFrame:
@@ -153,9 +208,48 @@ def detect_files(spark: SparkSession, before: str, after: str, config: Settings
     return detect(lay(before, "scene", 3), images.read_tiles(spark, after, "scene"), Grid(affine, g.projected), config, *heights, **dates)
 
 
+def in_system(rings: str, epsg: int | None) -> Column:
+    """Rings in map metres as coordinates of a reference system, 3857 or 4326."""
+    from deltascape.sources.images import RADIUS_M
+
+    if epsg == 3857:
+        return F.col(rings)
+    if epsg != 4326:
+        raise ValueError(f"no reprojection from EPSG 3857 to EPSG {epsg}")
+    point = lambda p: F.struct(F.degrees(p["x"] / RADIUS_M).alias("x"), F.degrees(2 * F.atan(F.exp(p["y"] / RADIUS_M)) - math.pi / 2).alias("y"))
+    return F.transform(rings, lambda ring: F.transform(ring, point))
+
+
+def annotate_shadow_files(spark: SparkSession, before: str, after: str, candidates: str, config: Settings | None = None) -> DataFrame:
+    """Features of a file with their shadow risk by two GeoTIFF files, of which the later gives the grid."""
+    from deltascape.sources import geojson, images
+
+    g = images.read_grid(spark, after).first()
+    affine = tuple(g.affine)
+    rows = geojson.read_features(spark, candidates, broken=True).withColumn("outline", F.col("rings"))
+    early = images.read_onto(spark, before, "scene", affine, g.height, g.width, 3, g.epsg)
+    got = annotate_shadow(early, images.read_tiles(spark, after, "scene"), rows.withColumn("rings", in_system("rings", g.epsg)), Grid(affine, g.projected), config)
+    return got.withColumn("rings", F.col("outline")).drop("outline")
+
+
+def expand_files(spark: SparkSession, candidates: str, score: str, **options: float) -> dict[str, DataFrame]:
+    """expand_confirmed for features of a file and the score of a GeoTIFF file, whose grid must be in map metres."""
+    from deltascape.sources import geojson, images
+
+    g = images.read_grid(spark, score).first()
+    if g.epsg != 3857:
+        raise ValueError("the score must be in EPSG 3857")
+    seeds = geojson.read_features(spark, candidates)
+    if seeds.isEmpty():
+        raise ValueError("there are no seeds")
+    return expand_confirmed(seeds.select("idx", "rings"), materialise(images.read_tiles(spark, score, "scene", 1), "score"), Grid(tuple(g.affine), g.projected), **options)
+
+
 def ground_scale(latitude: float) -> float:
     """Ground metres in a map metre at a latitude."""
     return math.cos(math.radians(latitude))
 
 
-__all__ = ["K", "annotate_shadow", "compare_objects", "detect_files", "enhanced", "footprints_of", "ground_scale", "resolution_ladder", "review_sample", "zonal"]
+__all__ = [
+    "annotate_shadow", "annotate_shadow_files", "compare_objects", "detect_files", "enhanced", "expand_confirmed", "expand_files", "footprints_of", "ground_scale", "resolution_ladder", "review_sample", "zonal",
+]

@@ -41,11 +41,12 @@ def metric_rings(geometry: str | None) -> list | None:
         return None
 
 
-def read_features(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+def read_features(spark: SparkSession, path: str, source: str | None = None, broken: bool = False) -> DataFrame:
     """One row per feature that is an object with a polygon: idx (its place from 1), id, classification, model, source,
     rings and box in map metres, known properties, and the raw properties.
 
-    A file that is no FeatureCollection raises; features that are none are left out, as are other geometries.
+    A file that is no FeatureCollection raises; features that are none are left out, as are
+    other geometries, unless broken ones are asked for: these have null rings.
     """
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "type string, features array<string>, metadata string").alias("c"), "value").select("c.*", "value")
     ok = (F.col("type") == "FeatureCollection") & F.col("features").isNotNull()
@@ -53,7 +54,7 @@ def read_features(spark: SparkSession, path: str, source: str | None = None) ->
         raise CollectionError(f"{path} is no GeoJSON FeatureCollection")
     rows = whole.select(F.posexplode("features").alias("place", "f"), F.get_json_object("metadata", "$.requested_detector").alias("made_by"))
     rows = rows.withColumn("geometry", F.get_json_object("f", "$.geometry")).withColumn("properties", F.coalesce(F.get_json_object("f", "$.properties"), F.lit("{}")))
-    rows = rows.filter(F.get_json_object("f", "$.type") == "Feature").withColumn("rings", _rings_udf()("geometry")).filter(F.col("rings").isNotNull())
+    rows = rows.filter(F.get_json_object("f", "$.type") == "Feature").withColumn("rings", _rings_udf()("geometry")).filter(F.col("rings").isNotNull() | F.lit(broken))
     rows = rows.withColumn("p", F.from_json("properties", KNOWN)).withColumn("idx", (F.col("place") + 1).cast("long"))
     flat = F.flatten("rings")
     edge = lambda pick, axis: pick(F.transform(flat, lambda p: p[axis]))
@@ -117,7 +118,7 @@ def feature_text(df: DataFrame, properties: list[str]) -> Column:
     """A row as a GeoJSON feature, as text."""
 
     def geometries(rings: pd.Series) -> pd.Series:
-        return rings.map(lambda r: geometry_json(json.loads(r)))
+        return rings.map(lambda r: "null" if r is None else geometry_json(json.loads(r)))
 
     body = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
     return F.concat(F.lit('{"type":"Feature","geometry":'), F.pandas_udf(geometries, "string")(F.to_json("rings")), F.lit(',"properties":'), body, F.lit("}"))

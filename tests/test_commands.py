@@ -60,9 +60,61 @@ def test_shadow_annotation(spark):
     ring = lambda x0, y0, x1, y1: [[{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]]
     rows = [(1, ring(42.0, 42.0, 58.0, 58.0)), (2, ring(80.0, 10.0, 90.0, 20.0)), (3, ring(900.0, 10.0, 910.0, 20.0))]
     shapes = spark.createDataFrame(rows, "idx long, rings array<array<struct<x:double,y:double>>>")
+    shapes = shapes.union(spark.createDataFrame([(4, None), (5, []), (6, [[{"x": 1.0, "y": 1.0}, {"x": 2.0, "y": 2.0}]])], shapes.schema))
     got = {r.idx: r for r in R.annotate_shadow(tiles(spark, dark), tiles(spark, image), shapes, GRID).collect()}
     assert got[1].shadow_risk == "high" and got[1].before_shadow_fraction > 0.5 > got[1].after_shadow_fraction
     assert got[2].shadow_risk == "low" and got[3].shadow_risk == "no_valid_pixels"
+    assert {(got[k].shadow_risk, got[k].combined_shadow_fraction) for k in (4, 5, 6)} == {("invalid_geometry", None)}
+
+
+def image(path, bands):
+    path.write_bytes(geotiff.write(geotiff.Raster(bands, (1.0, 0.0, 0.0, 0.0, -1.0, 100.0), 3857)))
+    return str(path)
+
+
+def metres(x0, y0, x1, y1):
+    from deltascape.sources.geojson import unproject
+
+    return {"type": "Polygon", "coordinates": [[unproject(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]]}
+
+
+def test_shadow_and_expand_commands(spark, tmp_path):
+    bright = np.full((3, 100, 100), 180, np.uint8)
+    bright[:, :5], bright[:, 5:10] = 0, 255
+    dark = bright.copy()
+    dark[:, 40:60, 40:60] = 50
+    features = saved(tmp_path / "c.json", collection(feature(metres(42, 42, 58, 58)), feature(metres(80, 10, 90, 20)), feature({"type": "Point", "coordinates": [0, 0]})))
+    assert main(["shadow", image(tmp_path / "b.tif", dark), image(tmp_path / "a.tif", bright), features, "--out", str(tmp_path / "s")]) == 0
+    assert {r["shadow_risk"]: r["n"] for r in result(tmp_path / "s/report")} == {"high": 1, "medium": 0, "low": 1, "no_valid_pixels": 0, "invalid_geometry": 1}
+    made = json.loads(next((tmp_path / "s/annotated").glob("part*")).read_text())["features"]
+    assert [f["properties"]["shadow_risk"] for f in made] == ["high", "low", "invalid_geometry"] and made[2]["geometry"] is None
+
+    score = np.zeros((1, 100, 100), np.float32)
+    score[0, 30:50, 30:50], score[0, 80:95, 80:95] = 0.9, 0.9  # only the first holds a seed
+    path = image(tmp_path / "score.tif", score)
+    assert main(["expand", saved(tmp_path / "seed.json", collection(feature(metres(36, 54, 42, 62)))), path, "--percentile", "94", "--reach", "30", "--out", str(tmp_path / "x")]) == 0
+    report = result(tmp_path / "x/report")[0]
+    assert report["candidate_count"] == 1 and report["seed_candidate_count"] == 1 and report["grow_threshold"] == pytest.approx(0.9, abs=1e-3)
+    grown = json.loads(next((tmp_path / "x/candidates").glob("part*")).read_text())["features"]
+    assert grown[0]["properties"]["area_m2"] == pytest.approx(400, rel=0.1)
+    assert main(["expand", saved(tmp_path / "none.json", collection()), path, "--out", str(tmp_path / "y")]) == 1
+
+
+def test_sample_and_enhanced_commands(spark, tmp_path):
+    at = [polygon(145.4 + k / 1000, -36.34, 145.4001 + k / 1000, -36.3399) for k in range(8)]
+    made = [{**feature(g), "properties": {"candidate_id": k, "area_m2": 30.0 + 20 * k, "change_support": {"tier": "ab"[k % 2]}}} for k, g in enumerate(at)]
+    path = saved(tmp_path / "c.json", collection(*made))
+    assert main(["sample", path, "--target", "4", "--least", "1", "--out", str(tmp_path / "s")]) == 0
+    drawn = json.loads(next((tmp_path / "s/sample").glob("part*")).read_text())["features"]
+    assert len(drawn) == sum(r["sampled"] for r in result(tmp_path / "s/plan"))
+    assert {f["properties"]["review_stratum"] for f in drawn} == {r["stratum"] for r in result(tmp_path / "s/plan")}
+    labels = saved(tmp_path / "l.json", {"labels": {str(k): "correct" if k < 4 else "wrong" for k in range(8)}})
+    assert main(["sample", path, "--labels", labels, "--out", str(tmp_path / "p")]) == 0
+    assert result(tmp_path / "p/report")[0]["labelled"] == 8 and result(tmp_path / "p/report")[0]["weighted_precision"] == 0.5
+    assert main(["enhanced", f"one={path}", f"two={path}", f"gone={tmp_path}/nothing.json", "--out", str(tmp_path / "e")]) == 0
+    assert {r["channel"]: "error" in r for r in result(tmp_path / "e/channels")} == {"one": False, "two": False, "gone": True}
+    assert {r["source_count"]: r["n"] for r in result(tmp_path / "e/by_sources")} == {2: 8}
+    assert main(["enhanced", f"gone={tmp_path}/nothing.json", "--out", str(tmp_path / "z")]) == 1
 
 
 def test_objects_and_channels(spark):
