@@ -69,7 +69,7 @@ def count_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def passed(found: dict[str, Counter]) -> pd.DataFrame:
         items = sorted(set().union(*found.values()))
-        return pd.DataFrame({"item": items} | {k: [v[w] for w in items] for k, v in found.items()})
+        return pd.DataFrame({"item": items} | {k: [v.get(w, 0) for w in items] for k, v in found.items()})
 
     found: dict[str, Counter] = {n: Counter() for n in COUNTS}
     for frame in frames:
@@ -281,7 +281,9 @@ def build_models(counts: DataFrame) -> ShardedModel:
 
     some = " OR ".join(f"tells_{m}" for m in FOLDS)
     told = materialise(telling(pairs).filter(some), "pairs")
+    steps = [told]
     wanted = materialise(telling(words).filter(some).select("item").union(told.select("word")).distinct(), "wanted")
+    steps.append(wanted)
 
     # words: the shared continuation share behind the class's discounted count
     ends = in_buckets(pairs, "word", wanted, "item").groupBy(F.col("word").alias("item")).agg(*[F.count_if(known[m]).alias(f"ends_{m}") for m in FOLDS])
@@ -293,6 +295,7 @@ def build_models(counts: DataFrame) -> ShardedModel:
             p = F.greatest(F.col(f"{m}{c}") - F.lit(d), F.lit(0.0)) / total + shared * (d * of_words[f"types_{m}{c}"] / total) if total else shared
             chances = chances.withColumn(f"p_{m}{c}", F.when(F.col(f"tells_{m}"), p).otherwise(shared))
     chances = materialise(chances.select("item", *[f"tells_{m}" for m in FOLDS], *[f"p_{m}{c}" for m, c in each]), "chances")
+    steps.append(chances)
     own_words = chances.select("item", *[F.when(F.col(f"tells_{m}"), F.log(F.col(f"p_{m}1") / F.col(f"p_{m}0"))).alias(m) for m in FOLDS])
 
     # pairs: the class's discounted share behind their history, and the word's chance behind that
@@ -307,7 +310,10 @@ def build_models(counts: DataFrame) -> ShardedModel:
         return F.when(of > 0, own).otherwise(F.col(f"p_{m}{c}"))
 
     own_pairs = told.select("item", *[F.when(F.col(f"tells_{m}"), F.log(behind(m, 1) / behind(m, 0))).alias(m) for m in FOLDS])
-    return ShardedModel(materialise(own_words.unionByName(own_pairs).filter(F.coalesce(*FOLDS).isNotNull()), "telling"))
+    items = materialise(own_words.unionByName(own_pairs).filter(F.coalesce(*FOLDS).isNotNull()), "telling")
+    for done in steps:
+        discard(done)
+    return ShardedModel(items)
 
 
 def scaled(ratio: Column) -> Column:
