@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascape.functions.geometry import Box
-from deltascape.plans.storage import in_order
+from deltascape.plans.storage import in_order, join_groups, materialise
 
 from .components import connected_components
-from .spatial import CORNERS, anti, near_pairs, nearest, nearest_any, overlap_of_many, prefixed, ring_area, ring_distance, ring_overlap, self_pairs, semi, union_box_area, union_ring_area
+from .spatial import CORNERS, anti, near_pairs, near_roots, nearest, nearest_any, overlap_of_many, prefixed, ring_area, ring_distance, ring_overlap, self_pairs, semi, union_areas, union_box_area, union_ring_area
 
 #: Words that mark a classification as construction, fixed values.
 CONSTRUCTION_WORDS = ("building", "extension", "pool", "driveway", "pav")
 #: Proximity graphs of at most this many edges are solved in one task.
 ONE_TASK_EDGES = 500_000
+#: Members that are gathered into one row at once; a site of more is put together from pieces.
+SITE_MEMBERS = 10_000
 NEW, EXTENSION = "new_building_footprint_candidate", "building_extension_footprint_candidate"
 
 
@@ -90,7 +92,16 @@ def preferred_class(counted: DataFrame, key: str) -> DataFrame:
 
 
 def cluster(shapes: DataFrame, d: float, side: float, different: str | None = None, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
-    """idx and cluster (its smallest idx) of shapes joined by proximity, perhaps between unlike values of a column only."""
+    """idx and cluster (its smallest idx) of shapes joined by proximity, perhaps between unlike values of a column only.
+
+    Boxes that any nearness joins meet by cells, without a table of all pairs; their joins are shuffled, as Spark takes
+    compressed files of millions of boxes for small enough to broadcast.
+    """
+    if different is None and "rings" not in shapes.columns:
+        by_cells = materialise(near_roots(shapes, d, side), "roots").withColumn("least", F.col("roots")[0])
+        joined = connected_components(by_cells.filter(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("least").alias("v")).filter("u <> v"), one_task_edges)
+        found = by_cells.join(joined.withColumnRenamed("node", "least").hint("merge"), "least", "left").select(F.col("node").alias("idx"), F.coalesce("root", "least").alias("cluster"))
+        return shapes.select("idx").join(found.hint("merge"), "idx", "left").select("idx", F.coalesce("cluster", "idx").alias("cluster"))
     pairs = self_pairs(shapes, d, side, "idx", different).select(F.col("l_idx").alias("u"), F.col("r_idx").alias("v"))
     joined = connected_components(pairs.select("u", "v"), one_task_edges)
     return shapes.select("idx").join(joined.select(F.col("node").alias("idx"), "root"), "idx", "left").select("idx", F.coalesce("root", "idx").alias("cluster"))
@@ -134,28 +145,63 @@ def priority_rank(p: Column) -> Column:
     return F.when(p == "high", 0).when(p == "medium", 1).otherwise(2)
 
 
+def _of(role: str, c: Column) -> Column:
+    return F.when(F.col("role") == role, c)
+
+
+def _gathered(evidence: DataFrame) -> DataFrame:
+    """One row per site of its evidence."""
+    ids = lambda role: F.transform(F.array_sort(F.collect_list(_of(role, F.struct("idx", "id")))), lambda s: s["id"])
+    return evidence.groupBy("site").agg(
+        F.round(merged_area(evidence), 1).alias("site_area_m2"), F.count_if(F.col("role") == "change").alias("change_evidence_count"), F.count_if(F.col("role") == "footprint").alias("footprint_evidence_count"),
+        ids("change").alias("change_candidate_ids"), ids("footprint").alias("footprint_candidate_ids"),
+        F.array_sort(F.collect_set(_of("change", F.col("classification")))).alias("change_classifications"), F.array_sort(F.collect_set(_of("footprint", F.col("classification")))).alias("footprint_classifications"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("sources"))))).alias("change_sources"), F.coalesce(F.max(_of("change", F.coalesce("source_count", F.lit(1)))), F.lit(0)).alias("agreeing"),
+    )
+
+
+def _pieced(evidence: DataFrame, side: float) -> DataFrame:
+    """The rows of _gathered for sites of any size (members, and the least and greatest idx, low and high): lists from
+    sorted pieces of the range of idx, areas from cells."""
+    # all large sites are clusters of changes, so their number alone names them
+    width = F.ceil(F.col("members") / SITE_MEMBERS) / (F.col("high") - F.col("low") + 1)
+    pieces = evidence.groupBy("site", "role", F.floor((F.col("idx") - F.col("low")) * width).alias("piece")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("idx", "id"))), lambda s: s["id"]).alias("ids"), F.count("*").alias("n"), F.collect_set("classification").alias("classes"),
+        F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"), F.max(F.coalesce("source_count", F.lit(1))).alias("agreeing"),
+    )
+    count = lambda role: F.coalesce(F.sum(_of(role, F.col("n"))), F.lit(0))
+    ids = lambda role: F.flatten(F.transform(F.array_sort(F.collect_list(_of(role, F.struct("piece", "ids")))), lambda s: s["ids"]))
+    classes = lambda role: F.array_sort(F.array_distinct(F.flatten(F.collect_list(_of(role, F.col("classes"))))))
+    shape = [*CORNERS, *(["rings"] if "rings" in evidence.columns else [])]
+    areas = union_areas(evidence.select(F.col("site.i").alias("i"), *shape), "i", side).select(F.struct(F.lit(0).alias("k"), "i").alias("site"), F.lit("area").alias("role"), "area")
+    return pieces.unionByName(areas, allowMissingColumns=True).groupBy("site").agg(
+        F.round(F.coalesce(F.max("area"), F.lit(0.0)), 1).alias("site_area_m2"), count("change").alias("change_evidence_count"), count("footprint").alias("footprint_evidence_count"),
+        ids("change").alias("change_candidate_ids"), ids("footprint").alias("footprint_candidate_ids"), classes("change").alias("change_classifications"), classes("footprint").alias("footprint_classifications"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("change_sources"), F.coalesce(F.max(_of("change", F.col("agreeing"))), F.lit(0)).alias("agreeing"),
+    )
+
+
 def build_sites(changes: DataFrame, footprints: DataFrame, merge_distance: float = 10.0, radius: float = 25.0, side: float = 64.0) -> DataFrame:
     """Sites for review: clusters of changes (idx, id, classification, sources, source_count, shape), each with the
     footprints (idx, id, classification, shape) whose nearest cluster it is; far footprints are sites of their own."""
     if merge_distance < 0 or radius < 0:
         raise ValueError("distances cannot be negative")
     shape = [*CORNERS, *(["rings"] if "rings" in changes.columns else [])]
-    grouped = changes.join(cluster(changes, merge_distance, side), "idx")
+    grouped = materialise(changes.join(cluster(changes, merge_distance, side).hint("merge"), "idx"), "grouped")
     # a cluster is as near as its nearest member, and ties go to the lower cluster
-    at = nearest(footprints.select("idx", *shape), grouped.select(F.col("cluster").alias("cluster"), *shape), radius, max(side, 2 * radius), "idx", "cluster")
-    attached = footprints.join(at.select("idx", F.col("nearest_cluster").alias("cluster")), "idx")
+    at = nearest(footprints.select("idx", *shape), grouped.select(F.col("cluster").alias("cluster"), *shape), radius, max(side, 2 * radius), "idx", "cluster", True)
+    attached = footprints.join(at.select("idx", F.col("nearest_cluster").alias("cluster")).hint("merge"), "idx")
     alone = F.col("cluster").isNull()
     key = F.when(alone, F.struct(F.lit(1).alias("k"), F.col("idx").alias("i"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("cluster").alias("i"))).alias("site")
     evidence = grouped.select(F.struct(F.lit(0).alias("k"), F.col("cluster").alias("i")).alias("site"), F.lit("change").alias("role"), "idx", "id", "classification", "sources", "source_count", *shape)
-    evidence = evidence.unionByName(attached.select(key, F.lit("footprint").alias("role"), "idx", "id", "classification", *shape), allowMissingColumns=True)
-    of = lambda role, c: F.when(F.col("role") == role, c)
-    ids = lambda role: F.transform(F.array_sort(F.collect_list(of(role, F.struct("idx", "id")))), lambda s: s["id"])
-    sites = evidence.groupBy("site").agg(
-        F.round(merged_area(evidence), 1).alias("site_area_m2"), F.count_if(F.col("role") == "change").alias("change_evidence_count"), F.count_if(F.col("role") == "footprint").alias("footprint_evidence_count"),
-        ids("change").alias("change_candidate_ids"), ids("footprint").alias("footprint_candidate_ids"),
-        F.array_sort(F.collect_set(of("change", F.col("classification")))).alias("change_classifications"), F.array_sort(F.collect_set(of("footprint", F.col("classification")))).alias("footprint_classifications"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("sources"))))).alias("change_sources"), F.coalesce(F.max(of("change", F.coalesce("source_count", F.lit(1)))), F.lit(0)).alias("agreeing"),
-    )
+    evidence = materialise(evidence.unionByName(attached.select(key, F.lit("footprint").alias("role"), "idx", "id", "classification", *shape), allowMissingColumns=True), "evidence")
+    sizes = materialise(evidence.groupBy("site").agg(F.count("*").alias("members"), F.min("idx").alias("low"), F.max("idx").alias("high")), "sizes")
+    total, most = sizes.agg(F.sum("members"), F.coalesce(F.max("members"), F.lit(0))).first()
+    if most <= SITE_MEMBERS:
+        sites = _gathered(evidence)
+    else:
+        sized = join_groups(evidence, sizes, "site", "members", total)
+        sites = _gathered(sized.filter(F.col("members") <= SITE_MEMBERS)).unionByName(_pieced(sized.filter(F.col("members") > SITE_MEMBERS), side))
     sites = sites.withColumn("review_priority", priority(F.col("agreeing"), F.col("footprint_evidence_count") > 0)).withColumn(
         "classification", F.when(F.col("change_evidence_count") > 0, "construction_site_candidate").otherwise("footprint_only_site_candidate")
     )

@@ -19,16 +19,14 @@ def _stars(pairs: DataFrame, total: int) -> DataFrame:
     return join_groups(pairs, least, "u", "degree", total).withColumn("m", F.least("u", "m"))
 
 
-def _union_find(frame: pd.DataFrame) -> pd.DataFrame:
-    """Labels of a bounded edge table, by hooking roots to the least and halving paths."""
-    nodes, ends = np.unique(frame[["u", "v"]].to_numpy(np.int64), return_inverse=True)
-    a, b = ends.reshape(-1, 2).T
-    root = np.arange(len(nodes))
+def least_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n places with edges from a to b the least of each one's component, by hooking roots to the least and halving paths."""
+    root = np.arange(n)
     while True:
         ra, rb = root[a], root[b]
         unlike = ra != rb
         if not unlike.any():
-            return pd.DataFrame({"node": nodes, "root": nodes[root]})
+            return root
         np.minimum.at(root, np.maximum(ra, rb)[unlike], np.minimum(ra, rb)[unlike])
         while True:
             up = root[root]
@@ -37,6 +35,12 @@ def _union_find(frame: pd.DataFrame) -> pd.DataFrame:
             root = up
 
 
+def _union_find(frame: pd.DataFrame) -> pd.DataFrame:
+    """Labels of a bounded edge table."""
+    nodes, ends = np.unique(frame[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+    return pd.DataFrame({"node": nodes, "root": nodes[least_roots(len(nodes), *ends.reshape(-1, 2).T)]})
+
+
 def connected_components(edges: DataFrame, one_task_edges: int = 0) -> DataFrame:
     """node and root, the smallest node of its component, of every node that stands in edges (columns u, v: long).
 

@@ -147,3 +147,43 @@ def test_plans_have_no_nested_loops(spark):
     df = spark.range(100000).selectExpr("id AS idx", "cast(id as string) AS source", "id * 3.0 AS x0", "id * 2.0 AS y0", "id * 3.0 + 2 AS x1", "id * 2.0 + 2 AS y1")
     plan = S.self_pairs(df, 2.0, 64.0)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_dense_boxes_meet_by_cells_without_a_table_of_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    boxes = [(i, *(lambda x, y: (x, y, x + rng.randint(0, 9), y + rng.randint(0, 9)))(float(rng.randint(-400, 400)), float(rng.randint(-60, 60)))) for i in rng.sample(range(10_000), 700)]
+    boxes += [(20_000 + i, 5.0, 5.0, 6.0, 6.0) for i in range(150)]
+    shapes = spark.createDataFrame(boxes, f"idx long, {BOX}")
+    near = lambda a, b, d: max(0, b[1] - a[3], a[1] - b[3]) ** 2 + max(0, b[2] - a[4], a[2] - b[4]) ** 2 <= d * d
+    for d, few, part in ((5.0, 64, 20_000), (9.0, 4, 40), (0.0, 0, 25)):
+        monkeypatch.setattr(S, "FEW_BOXES", few)
+        monkeypatch.setattr(S, "PART_BOXES", part)
+        lowest = {a[0]: a[0] for a in boxes}
+        pairs = [(a[0], b[0]) for i, a in enumerate(boxes) for b in boxes[:i] if near(a, b, d)]
+        moved = True
+        while moved:
+            moved = False
+            for u, v in pairs:
+                low = min(lowest[u], lowest[v])
+                moved |= lowest[u] != low or lowest[v] != low
+                lowest[u] = lowest[v] = low
+        assert {r.idx: r.cluster for r in C.cluster(shapes, d, 32.0).collect()} == lowest
+        assert S.near_roots(shapes, d, 32.0).count() == len(boxes)
+
+
+@both
+def test_large_sites_come_from_pieces(spark, polygons, monkeypatch):
+    rng = random.Random(7)
+    changes = []
+    for i in range(60):  # a crowd over several cells, and some on their own
+        x, y = (rng.randint(0, 150), rng.randint(0, 100)) if i < 45 else (1000.0 * i, 0.0)
+        changes.append((7 * i, str(i), "ab"[i % 2], [["p", "q", "r"][i % 3]], 1 + i % 3, float(x), float(y), x + 30.0, y + 20.0))
+    prints = [(i, f"f{i}", "f", 10.0 * i, 5.0, 10.0 * i + 8, 15.0) for i in range(20)] + [(99, "f99", "f", -900.0, 0.0, -890.0, 10.0)]
+    args = (frame(spark, changes, "idx long, id string, classification string, sources array<string>, source_count int", polygons), frame(spark, prints, "idx long, id string, classification string", polygons), 10.0, 25.0)
+    whole = C.build_sites(*args).orderBy("candidate_id").collect()
+    monkeypatch.setattr(C, "SITE_MEMBERS", 6)
+    wide = []
+    monkeypatch.setattr(C, "merged_area", lambda df, f=C.merged_area: wide.append(df.agg({"members": "max"}).first()[0]) or f(df))
+    got = C.build_sites(*args).select(whole[0].__fields__).orderBy("candidate_id").collect()
+    assert got == whole and max(len(r.change_candidate_ids) for r in got) >= 40
+    assert wide == [1]  # no row but those of small sites is gathered at once
