@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from deltascape.operators.components import connected_components
 
-from .common import discard, fresh, join_groups, materialise, numbered, row_key, select_present, splitmix, stream_groups
+from .common import discard, fresh, join_groups, materialise, numbered, release, row_key, select_present, splitmix, stream_groups
 
 #: Signature length, rows of a band, hashes compared at a time. A pair at similarity 0.85 misses all bands with
 #: probability (1 - 0.85**4)**16, below 1e-5.
@@ -34,6 +34,9 @@ HASHES, BAND_ROWS, BATCH = 64, 4, 16
 MISS = 1e-7
 #: Documents, and shingles, that meet in one group at most (a single document may have more); anchors of a dealt group.
 PART_DOCS, PART_SHINGLES, ANCHORS = 2000, 2_000_000, 32
+#: Where documents are dropped, edge tables of at most this many rows are solved in one task: the rounds of larger ones
+#: are some twenty plans, which take memory of the driver however small the table.
+ONE_TASK_EDGES = 500_000
 _U64 = np.uint64
 
 
@@ -270,8 +273,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return _in_components(docs, shingle_words, percent).drop("component")
 
 
-def _in_components(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The rows of near_duplicates with component, a number of each component, also of those with a null or repeated id."""
+def _in_components(docs: DataFrame, shingle_words: int, percent: int, one_task_edges: int = 0) -> DataFrame:
+    """The rows of near_duplicates with component, a number of each component, also of those with a null or repeated id.
+    one_task_edges as in connected_components."""
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = select_present(docs, "doc_id", "text").withColumn("row_uid", F.monotonically_increasing_id())
     prints = materialise(
@@ -293,7 +297,7 @@ def _in_components(docs: DataFrame, shingle_words: int, percent: int) -> DataFra
     large = members.filter(F.col("members") > PART_DOCS).select(F.col("first").alias("u"), F.col("node").alias("v"))
     small = members.filter(F.col("members") <= PART_DOCS).select("band", "node").join(reps.select("node", "sig"), "node")
     trees = small.repartition("band").sortWithinPartitions("band", "node").select("band", "node", "sig").mapInPandas(lambda frames: bucket_trees(frames, percent), EDGES)
-    candidates = materialise(connected_components(trees.unionByName(large)), "candidates")
+    candidates = materialise(connected_components(trees.unionByName(large), one_task_edges), "candidates")
 
     # each group's texts meet once, in parts where they are many
     sizes = candidates.join(reps.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
@@ -307,8 +311,8 @@ def _in_components(docs: DataFrame, shingle_words: int, percent: int) -> DataFra
     links = materialise(met.mapInPandas(lambda frames: group_trees(frames, shingle_words, percent), EDGES), "links")
     big = materialise(grouped.filter("parts > 1"), "big")
     if not big.isEmpty():
-        links = links.unionByName(_straggling(big, links, full, shingle_words, percent))
-    components = materialise(connected_components(links), "components")
+        links = links.unionByName(_straggling(big, links, full, shingle_words, percent, one_task_edges))
+    components = materialise(connected_components(links, one_task_edges), "components")
 
     # back to the rows
     known = reps.select("set_key", "doc_id", "copies", "node").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -332,15 +336,16 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
     The rows that stay are found again by id and text hash, in one shuffle of docs; of rows equal in both one stays.
     """
     key, nth = fresh(docs, "key", "nth")
-    own = _in_components(docs, shingle_words, percent).filter("kept").groupBy("component").agg(F.min("component_id").alias("component_id"), F.min("text_hash").alias("text_hash"))
+    own = _in_components(docs, shingle_words, percent, ONE_TASK_EDGES).filter("kept").groupBy("component").agg(F.min("component_id").alias("component_id"), F.min("text_hash").alias("text_hash"))
     stay = own.select(row_key(F.col("component_id"), F.col("text_hash")).alias(key))
+    release(docs.sparkSession)
     rows = docs.withColumn(key, row_key(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))))
     return numbered(rows, key, nth).filter(F.col(nth) == 1).join(stay, key, "left_semi").select(*docs.columns)
 
 
-def _straggling(big: DataFrame, links: DataFrame, full: DataFrame, size: int, percent: int) -> DataFrame:
+def _straggling(big: DataFrame, links: DataFrame, full: DataFrame, size: int, percent: int, one_task_edges: int = 0) -> DataFrame:
     """Links of dealt groups that their parts could not see: documents outside a group's main component meet all parts."""
-    found = connected_components(links)
+    found = connected_components(links, one_task_edges)
     labelled = materialise(big.join(found.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     counts = labelled.groupBy("root", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))

@@ -123,3 +123,18 @@ def test_prune_bounds():
     hits = rng.random((4000, N.HASHES)) < 0.85
     sig = np.zeros(N.HASHES, np.uint32)
     assert len(N.survivors(sig, np.where(hits, 0, 1).astype(np.uint32), 85)) >= 3998
+
+
+def test_dropping_solves_small_edge_tables_without_rounds(spark, monkeypatch):
+    from deltascape.operators import components
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:100], f"end{i}"]) for i in range(6)] + [" ".join([*words[100:], f"end{i}"]) for i in range(5)] + ["alone " * 3, None, " ".join(words[:50])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(N, "PART_DOCS", 4)  # groups are dealt, so that stragglers are sought too
+    rounds = []
+    monkeypatch.setattr(components, "_stars", lambda pairs, total, f=components._stars: rounds.append(1) or f(pairs, total))
+    got = sorted(r.doc_id for r in N.drop_near_duplicates(docs).collect())
+    assert got == [0, 6, 11, 12, 13] and not rounds
+    monkeypatch.setattr(N, "ONE_TASK_EDGES", 0)
+    assert sorted(r.doc_id for r in N.drop_near_duplicates(docs).collect()) == got and rounds
